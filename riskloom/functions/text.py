@@ -115,5 +115,6 @@ def from_first_hunk(patch: str | Column) -> Column:
     return F.when(hunk != "", hunk).otherwise(text)
 
 
-def feature_signature(names: Sequence[str]) -> Column:
-    return F.sha2(F.concat_ws("\n", *[F.lit(n) for n in names]), 256)
+def feature_signature(names: Sequence[str | Column]) -> Column:
+    """Digest of names in their order; plain strings are column names, literals go in as columns."""
+    return F.sha2(F.concat_ws("\n", *[as_col(n) for n in names]), 256)
