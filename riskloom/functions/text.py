@@ -64,7 +64,7 @@ def stable_id(candidates: Sequence[str | Column], introduced: str | Column, row_
 def split_list(raw: str | Column, separators: str = r"[;,\s]+") -> Column:
     """Trimmed, non-blank parts in order."""
     parts = F.split(F.coalesce(as_col(raw), F.lit("")), separators)
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def parse_list(raw: str | Column) -> Column:

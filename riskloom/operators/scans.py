@@ -27,20 +27,18 @@ def running_totals(
     ``chunk`` must not decrease along ``order`` within a key, and should hold a bounded
     share of a key's rows. ``order`` should be total within a chunk.
     """
-    rows = df.withColumns({"_chunk": chunk if isinstance(chunk, Column) else F.col(chunk), **{f"_v_{n}": e for n, e in sums.items()}})
-    totals = rows.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)],
-        F.col("_chunk").alias("_k_chunk"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
-    match = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
-    frame = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    chunk = chunk if isinstance(chunk, Column) else F.col(chunk)
+    # One struct key serves the join and the window, so the rows are shuffled once;
+    # structs with null fields compare equal, so null keys keep their rows.
+    rows = df.withColumns({"_key": F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("chunk")),
+                           **{f"_v_{n}": e for n, e in sums.items()}})
+    totals = rows.groupBy("_key").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy(*[F.col(f"_key.k{i}") for i in range(len(keys))]).orderBy("_key.chunk")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_key", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    frame = Window.partitionBy("_key").orderBy(*order)
     frame = frame.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    joined = rows.join(offsets, match, "left")
+    joined = rows.join(offsets, "_key")
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(frame), F.lit(0))).alias(n) for n in sums],

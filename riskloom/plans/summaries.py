@@ -39,3 +39,11 @@ def mean_by_model(metrics: DataFrame) -> DataFrame:
     )
     projects = metrics.select("model", "project").distinct().groupBy("model").agg(F.count("*").alias("project_count"))
     return means.join(projects, "model")
+
+
+def leave_one_out_sums(df: DataFrame, entity: str, value: str) -> DataFrame:
+    """Row count and sum over all other entities, as total minus own."""
+    own = df.groupBy(entity).agg(F.count(value).alias("_n"), F.sum(value).alias("_v"))
+    total = own.agg(F.sum("_n").alias("_tn"), F.sum("_v").alias("_tv"))
+    both = own.crossJoin(F.broadcast(total))  # total: one row
+    return both.select(entity, (F.col("_tn") - F.col("_n")).alias("others"), (F.col("_tv") - F.col("_v")).alias(f"other_{value}"))
