@@ -96,6 +96,16 @@ def align_columns(df: DataFrame, schema: Mapping[str, str], zero: Sequence[str]
     )
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so later filters and projections reuse their values.
+
+    Catalyst otherwise copies an expression into every place that names it; that is right
+    for arithmetic and wrong for a regex or a split over a long text.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(row)).alias("_once")).select(*df.columns, "_once.*")
+
+
 @dataclass(frozen=True)
 class LabelChoice:
     flag: Column

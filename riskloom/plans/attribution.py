@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import ratio_or_null
 from riskloom.operators import joins as jn
+from riskloom.session import settle
 
 EPS = 1e-9
 KEYS = ["strategy", "project"]
@@ -62,8 +63,9 @@ def crossing_attribution(schedules: DataFrame, targets: DataFrame, rates: DataFr
     ``schedules``: strategy, project, day, event_id (order within a day), scheduled.
     ``targets``: project, target. ``rates``: project, rate. ``window``: days, 0 for none.
     """
-    events = _events(schedules, rates, window)
-    hits = _hits(events, targets)
+    # both tables are read several times below, so each is written once
+    events = settle(_events(schedules, rates, window), "events")
+    hits = settle(_hits(events, targets), "hits")
     per_event = hits.filter("hit_no IS NOT NULL").groupBy(*KEYS, F.col("hit_no").alias("no")).agg(
         F.sum("additional").alias("detections_count"),
         F.sum(F.col("n") - F.col("additional")).alias("baseline_detections_count"),

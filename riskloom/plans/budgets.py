@@ -14,6 +14,7 @@ from riskloom.operators import joins as jn
 from riskloom.operators import scans
 from riskloom.operators import windows as wn
 from riskloom.plans.detection import QUARTILES, detection_units
+from riskloom.session import settle
 
 STATS = ["median", "q1", "q3", "count"]
 MODES = ("per_project", "cross_project")
@@ -32,11 +33,13 @@ def with_duration_statistics(days: DataFrame, units: DataFrame, mode: str) -> Da
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    # read by every level below, so written once
+    units = settle(units.select("project", "commit_day", "units"), "units")
     overall = units.agg(*ag.quartiles("units"))
     out = days
     if mode == "per_project":
         windows = days.filter("fold IS NOT NULL").select("project", "fold", "train_start", "train_end").distinct()
-        inside = jn.interval_join(units.select("project", "commit_day", "units"), windows, "project", "commit_day", "train_start", "train_end")
+        inside = jn.interval_join(units, windows, "project", "commit_day", "train_start", "train_end")
         per_fold = inside.groupBy("project", "fold").agg(*ag.quartiles("units"))
         per_project = units.groupBy("project").agg(*ag.quartiles("units"))
         out = out.join(_named(per_fold, "fold", "project", "fold"), ["project", "fold"], "left")

@@ -61,16 +61,15 @@ def threshold_sweep(
     ``schedule`` builds the strategies' schedules for one threshold. The thresholds, one
     number per target, are the only values that come back to the driver.
     """
-    points = rk.thresholds_for_precision(curve, targets, include_sentinel=include_sentinel).collect()
+    reached = rk.thresholds_for_precision(curve, targets, include_sentinel=include_sentinel)
+    points = sorted(reached.collect(), key=lambda r: r["precision_target"])
     parts = []
-    for p in sorted(points, key=lambda r: r["precision_target"]):
+    for p in points or [{f.name: None for f in reached.schema} | {"threshold": float("inf")}]:
+        facts = {f.name: F.lit(p[f.name]).cast(f.dataType) for f in reached.schema}
         for name, df in schedule(p["threshold"]).items():
-            facts = {c: p[c] for c in ("precision_target", "threshold", "precision", "recall", "tp", "fp", "fn")}
-            row = ag.schedule_summary(df, "scheduled").withColumns({c: F.lit(v) for c, v in facts.items()})
-            parts.append(row.withColumn("strategy", F.lit(name)))
-    if not parts:
-        raise ValueError("no target is reached")
-    return st.union_all(parts)
+            parts.append(ag.schedule_summary(df, "scheduled").withColumns({**facts, "strategy": F.lit(name)}))
+    out = st.union_all(parts)
+    return out if points else out.limit(0)
 
 
 def low_precision_rows(sweep: DataFrame, target: float) -> DataFrame:

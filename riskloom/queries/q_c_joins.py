@@ -17,7 +17,7 @@ from riskloom.queries.q_d_aggregates import _SIDE_SQL, _UNITS, _side
 from riskloom.queries.q_e_windows import _CHUNKS, TIMELINE_CTE, timeline
 from riskloom.queries.q_h_functions import _URLS_SQL, repos
 from riskloom.queries.registry import query
-from riskloom.session import load
+from riskloom.session import load, settle
 
 
 @query("c01_join_on_other_names", """
@@ -175,14 +175,15 @@ labelled AS (SELECT t.project, t.day, t.day_index, t.rate, t.unit_end, p.risk, c
 LABELLED_CTE = LABELLED_CTE.replace("ordered AS", "preds AS (SELECT project, day, risk, added + deleted AS churn FROM scored WHERE (added + deleted) % 10 <> 0), ordered AS", 1)
 
 
-def predictions(spark, sf):
+def predictions(daily):
     """Scored days with gaps: every tenth churn value is missing from the predictions."""
     churn = F.col("added") + F.col("deleted")
-    return s.scored(spark, sf).select("project", "day", F.col("risk").alias("predicted_risk_x"), churn.alias("churn")).filter("churn % 10 <> 0")
+    return daily.select("project", "day", F.col("risk").alias("predicted_risk_x"), churn.alias("churn")).filter("churn % 10 <> 0")
 
 
 def labelled(spark, sf):
-    return tl.labelled_timeline(timeline(spark, sf), predictions(spark, sf), "predicted_risk_x", threshold=0.7, folds=4, extra=["churn"])
+    daily = settle(s.scored(spark, sf), "scored")
+    return tl.labelled_timeline(timeline(spark, sf, daily), predictions(daily), "predicted_risk_x", threshold=0.7, folds=4, extra=["churn"])
 
 
 @query("c13_labelled_timeline", f"""WITH {LABELLED_CTE}

@@ -20,8 +20,8 @@ timeline AS (
         FROM scored s LEFT JOIN rates r ON s.project = r.project))"""
 
 
-def timeline(spark, sf):
-    daily = s.scored(spark, sf).select("project", "day", "commit_count")
+def timeline(spark, sf, scored=None):
+    daily = (scored if scored is not None else s.scored(spark, sf)).select("project", "day", "commit_count")
     return wn.capacity_timeline(daily.join(s.rates(spark, sf), "project", "left"), "rate")
 
 

@@ -17,7 +17,7 @@ from riskloom.plans import tables as tbl
 from riskloom.plans import timeline as tl
 from riskloom.queries import q_a_sources as qa
 from riskloom.queries import standins as s
-from riskloom.queries.q_c_joins import HISTORY_CTE, LABELLED_CTE, labelled, predictions
+from riskloom.queries.q_c_joins import HISTORY_CTE, LABELLED_CTE, labelled
 from riskloom.queries.q_d_aggregates import _plan
 from riskloom.queries.q_e_windows import CURVE_CTE, TIMELINE_CTE, timeline
 from riskloom.queries.q_h_functions import _URLS_SQL, advisory_json, repos
@@ -126,7 +126,8 @@ st AS (SELECT l.*, coalesce(fs.med, ps.med, gs.med) AS med, CASE WHEN fs.med IS
 
 
 def _both_modes(spark, sf, budget, columns, **options):
-    days, found, rates = labelled(spark, sf), s.detections(spark, sf), s.rates(spark, sf)
+    # the tables that all strategies share are written once
+    days, found, rates = settle(labelled(spark, sf), "labelled"), settle(s.detections(spark, sf), "detections"), s.rates(spark, sf)
     parts = [budget(days, found, rates, mode=m, **options).select(F.lit(m).alias("mode"), "project", F.col("day").cast("string").alias("day"), *columns) for m in bd.MODES]
     return parts[0].unionByName(parts[1])
 
@@ -172,7 +173,7 @@ ev AS (SELECT e.strategy, e.project, e.day, e.no, coalesce(op.threshold, 'inf'::
 
 
 def _schedules(spark, sf):
-    daily = s.scored(spark, sf)
+    daily = settle(s.scored(spark, sf), "scored")
     a = daily.filter("flagged = 1 AND project <> 'p9'").select(F.lit("a").alias("strategy"), "project", "day", (F.col("added") * 10).alias("scheduled"))
     b = daily.filter("risk >= 0.7").select(F.lit("b").alias("strategy"), "project", "day", (F.col("deleted") * 150).alias("scheduled"))
     targets = dt.detection_units(s.detections(spark, sf), s.rates(spark, sf)).filter("project <> 'p4'").select("project", F.col("units").alias("target"))
@@ -225,13 +226,13 @@ ds AS (SELECT l.project, l.day, l.fold, l.rate, coalesce(l.churn, 0) AS churn, C
 @query("l09_regression_budget_simple", f"""WITH {_DATASET}, fit AS (SELECT p.project, regr_slope(observed, churn) AS b, regr_intercept(observed, churn) AS a FROM (SELECT DISTINCT project FROM ds) p JOIN ds ON ds.project <> p.project GROUP BY 1)
 SELECT ds.project, CAST(day AS VARCHAR) AS day, observed, round(a + b * churn, 4) AS raw, CAST(ceil(round(greatest(a + b * churn, 0), 6)) AS BIGINT) AS scheduled FROM ds JOIN fit ON ds.project = fit.project""")
 def regression_budget_simple(spark, sf):
-    out = bd.regression_budget(labelled(spark, sf), s.detections(spark, sf), ["churn"])
+    out = bd.regression_budget(settle(labelled(spark, sf), "labelled"), s.detections(spark, sf), ["churn"])
     return out.select("project", F.col("day").cast("string").alias("day"), "observed", F.round("raw", 4).alias("raw"), "scheduled")
 
 
 @query("l09_regression_budget_multi")
 def regression_budget_multi(spark, sf):
-    out = bd.regression_budget(labelled(spark, sf), s.detections(spark, sf), ["churn", "rate", "day_index"], evaluation="random_split")
+    out = bd.regression_budget(settle(labelled(spark, sf), "labelled"), s.detections(spark, sf), ["churn", "rate", "day_index"], evaluation="random_split")
     return out.select("project", F.col("day").cast("string").alias("day"), "observed", F.round("raw", 4).alias("raw"), "scheduled")
 
 
@@ -261,7 +262,7 @@ def compare_strategies(spark, sf):
     return out.withColumns({**{c: F.round(c, 6) for c in rounded}, "units_saved": F.round("units_saved", 4)})
 
 
-_SWEEP_TARGETS = [0.33, 0.34]
+_SWEEP_TARGETS = [0.02, 0.3]
 
 
 @query("l12_threshold_sweep", f"""WITH {TIMELINE_CTE}, {CURVE_CTE}, {UNITS_ONLY}, os AS (SELECT p.project, quantile_cont(u.units, 0.5) AS med FROM (SELECT DISTINCT project FROM scored) p JOIN units u ON u.project <> p.project GROUP BY 1),
@@ -271,9 +272,9 @@ SELECT 'median' AS strategy, target AS precision_target, threshold, round(precis
   count(DISTINCT tl.day) AS unique_days, CAST(sum(ceil(med)) AS BIGINT) AS scheduled, round(1 - precision, 6) AS false_positive_rate
 FROM th JOIN scored s ON s.risk >= th.threshold JOIN timeline tl ON tl.project = s.project AND tl.day = s.day JOIN os ON os.project = s.project WHERE tl.rate > 0 AND ceil(med) > 0 GROUP BY target, threshold, precision, recall""")
 def threshold_sweep(spark, sf):
-    rows = s.scored(spark, sf)
+    rows = settle(s.scored(spark, sf), "scored")
     scores = rows.select("project", "day", F.col("risk").alias("predicted_risk_x"))
-    days, found, rates = timeline(spark, sf), s.detections(spark, sf), s.rates(spark, sf)
+    days, found, rates = settle(timeline(spark, sf), "timeline"), settle(s.detections(spark, sf), "detections"), s.rates(spark, sf)
 
     def schedule(threshold):
         marked = tl.labelled_timeline(days, scores, "predicted_risk_x", threshold=threshold)
@@ -452,7 +453,7 @@ UNION ALL SELECT 'iqr', count(*), CAST(sum(ceil(v)) AS BIGINT) FROM (SELECT q1 +
 def named_strategies(spark, sf):
     from riskloom.operators import aggregates as ag
 
-    tables = [labelled(spark, sf), s.detections(spark, sf), s.rates(spark, sf)]
+    tables = [settle(labelled(spark, sf), "labelled"), settle(s.detections(spark, sf), "detections"), s.rates(spark, sf)]
     parts = [bd.run_strategy(name, *tables).select("strategy", "project", "day", "scheduled") for name in ("Strategy1", "iqr")]
     both = parts[0].unionByName(parts[1])
     return ag.schedule_summary(both, "scheduled", keys=["strategy"]).select("strategy", "rows", "scheduled")

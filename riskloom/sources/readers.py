@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType, StructType, _parse_datatype
 from riskloom.functions import records as rec
 from riskloom.functions import text as tx
 from riskloom.operators.ranking import top_per_group
+from riskloom.operators.tables import computed_once
 
 
 
@@ -193,17 +194,18 @@ def parse_object_paths(df: DataFrame, path: str, files: Sequence[str], start: Co
 
     ``project/reports/day/target/linux/file`` and ``project/reports/day/linux/file``.
     """
-    p = F.split(path, "/")
+    rows = computed_once(df, _p=F.split(path, "/"))
+    p = F.col("_p")
     n = F.size(p)
     long, short = (n == 6) & (p[4] == "linux"), (n == 5) & (p[3] == "linux")
-    out = df.filter(long | short).select(
-        "*",
+    out = rows.filter((long | short) & F.element_at(p, -1).isin(list(files)) & p[2].rlike(r"^\d{8}$")).select(
+        *df.columns,
         p[0].alias("project"),
-        F.try_to_timestamp(F.when(p[2].rlike(r"^\d{8}$"), p[2]), F.lit("yyyyMMdd")).cast("date").alias("day"),
+        F.try_to_timestamp(p[2], F.lit("yyyyMMdd")).cast("date").alias("day"),
         F.when(long, p[3]).otherwise("no_target").alias("target"),
         F.element_at(p, -1).alias("file_name"),
     )
-    return out.filter(F.col("file_name").isin(list(files)) & F.col("day").between(start, end))
+    return out.filter(F.col("day").between(start, end))
 
 
 def request_grid(keys: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -212,16 +214,16 @@ def request_grid(keys: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 _ROW = r"(?s)<tr[^>]*>(.*?)</tr>"
-
-
-def _cell(row: Column, css: str) -> Column:
-    return F.regexp_extract(row, rf"""(?s)<td[^>]*class=['"](?:{css})['"][^>]*>(.*?)</td>""", 1)
+_NUMBER = r"""<td[^>]*class=['"]line-number['"][^>]*>(?:\s|<[^>]*>)*(\d+)"""
+_COUNT = r"""<td[^>]*class=['"](?:un)?covered-line['"][^>]*>(?:\s|<[^>]*>)*([0-9.]+)([kKmM]?)"""
+_CODE = r"""(?s)<td[^>]*class=['"]code['"][^>]*>(.*?)</td>"""
+# The entities a report escapes in code text; the ampersand comes last.
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
 def _plain(html: Column) -> Column:
     text = F.regexp_replace(html, r"<[^>]*>", "")
-    # The entities a report escapes in code text; the ampersand comes last.
-    for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
+    for entity, char in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -229,17 +231,21 @@ def _plain(html: Column) -> Column:
 def report_lines(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     """Line number, code text and hit count from coverage pages; the first row of a line wins.
 
-    Counts may end in ``k`` or ``m``; lines without a count have a null one.
+    Counts may end in ``k`` or ``m``; lines without a count have a null one. Pages are
+    partitioned by their key before they are taken apart, so lines never move.
     """
-    rows = pages.select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(_ROW), F.lit(1))).alias("_pos", "_row"))
-    row = F.col("_row")
-    number = _plain(_cell(row, "line-number")).try_cast("bigint")
-    count = F.lower(_plain(_cell(row, "covered-line|uncovered-line")))
-    scale = F.when(count.endswith("k"), 1000).when(count.endswith("m"), 1000000).otherwise(1)
-    execute = F.floor(F.rtrim(count, F.lit("km")).try_cast("double") * scale)
-    has_code = row.rlike(r"""class=['"]code['"]""")
-    lines = rows.filter(has_code & number.isNotNull()).select(
-        *keys, number.alias("line_no"), "_pos", _plain(_cell(row, "code")).alias("content"), execute.alias("execute")
+    placed = pages.select(*keys, html).repartition(*keys)
+    rows = placed.select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(_ROW), F.lit(1))).alias("_pos", "_row"))
+    rows = rows.filter(F.contains("_row", F.lit("line-number")))
+    cells = computed_once(
+        rows,
+        line_no=F.regexp_extract("_row", _NUMBER, 1).try_cast("bigint"),
+        _amount=F.regexp_extract("_row", _COUNT, 1).try_cast("double"),
+        _unit=F.lower(F.regexp_extract("_row", _COUNT, 2)),
+        _code=F.when(F.col("_row").rlike(r"""class=['"]code['"]"""), F.regexp_extract("_row", _CODE, 1)),
     )
-    first = F.min_by(F.struct("content", "execute"), "_pos")
-    return lines.groupBy(*keys, "line_no").agg(first.alias("_v")).select(*keys, "line_no", "_v.content", "_v.execute")
+    scale = F.when(F.col("_unit") == "k", 1000).when(F.col("_unit") == "m", 1000000).otherwise(1)
+    lines = cells.filter("line_no IS NOT NULL AND _code IS NOT NULL")
+    first = F.min_by(F.struct("_code", F.floor(F.col("_amount") * scale).alias("execute")), "_pos")
+    firsts = lines.groupBy(*keys, "line_no").agg(first.alias("_v"))
+    return firsts.select(*keys, "line_no", _plain(F.col("_v._code")).alias("content"), "_v.execute")
