@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import settle
+
 
 def running_totals(
     df: DataFrame,
@@ -45,13 +47,18 @@ def running_totals(
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, bins: int = 512) -> DataFrame:
-    """Per key: each distinct value with its count ``n`` and the count ``cum`` up to it.
-
-    Values are cut into ``bins`` equal-width bins per key so that prefix sums run in two
-    levels and no task ever holds all values of a key.
-    """
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = 512) -> DataFrame:
+    """Per key: each distinct value with its count ``n`` and the count ``cum`` up to it."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    return _with_cum(settle(counts, "counts") if bins else counts, keys, bins)
+
+
+def _with_cum(counts: DataFrame, keys: Sequence[str], bins: int | None) -> DataFrame:
+    """Add ``cum``. Values are cut into ``bins`` equal-width bins per key, so that no task holds all
+    values of a key; without bins one does, which suits domains that are known to be small."""
+    if not bins:
+        order = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumn("cum", F.sum("n").over(order))
     span = counts.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     cut = counts.join(span, list(keys)) if keys else counts.crossJoin(F.broadcast(span))  # span: one row
     width = F.col("_hi") - F.col("_lo")
@@ -101,7 +108,7 @@ def exact_quantiles(
 
 
 def leave_one_out_quantiles(
-    df: DataFrame, entity: str, value: str, probs: Mapping[str, float], buckets: int = 1024
+    df: DataFrame, entity: str, value: str, probs: Mapping[str, float], buckets: int = 1024, bins: int | None = 512
 ) -> DataFrame:
     """For each entity, quantiles over the rows of all *other* entities, without pairing them.
 
@@ -112,9 +119,12 @@ def leave_one_out_quantiles(
     count buckets.
     """
     names = list(probs)
-    own = value_counts(df, [entity], value).select(entity, "value", F.col("n").alias("own_n"), F.col("cum").alias("own_cum"))
-    world = value_counts(df, [], value).select("value", F.col("n").alias("all_n"), F.col("cum").alias("all_cum"))
-    total = df.filter(F.col(value).isNotNull()).agg(F.count("*").alias("_total"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(entity, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    counts = settle(counts, "counts")  # the rows themselves are read once
+    own = _with_cum(counts, [entity], bins).select(entity, "value", F.col("n").alias("own_n"), F.col("cum").alias("own_cum"))
+    world = _with_cum(counts.groupBy("value").agg(F.sum("n").alias("n")), [], bins)
+    world = world.select("value", F.col("n").alias("all_n"), F.col("cum").alias("all_cum"))
+    total = counts.agg(F.sum("n").alias("_total"))
     sizes = own.groupBy(entity).agg(F.sum("own_n").alias("own_total"))
     points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(probs[n])).alias("p")) for i, n in enumerate(names)]))
     foreign = sizes.crossJoin(F.broadcast(total)).withColumn("count", F.col("_total") - F.col("own_total"))  # total: one row

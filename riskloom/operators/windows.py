@@ -125,7 +125,7 @@ def allocate_budget(df: DataFrame, entity: str, requested: str, budget: str, ord
     """
     w = Window.partitionBy(entity)
     req = F.greatest(F.col(requested), F.lit(0)).cast("bigint")
-    cap = F.greatest(F.bround(F.col(budget), 0), F.lit(0)).cast("bigint")
+    cap = F.when(F.col(budget).isNotNull(), F.greatest(F.bround(F.col(budget), 0), F.lit(0))).cast("bigint")
     step1 = df.withColumns({"_req": req, "_cap": cap}).withColumn("_sum", F.sum("_req").over(w))
     scaled = F.col("_req") * (F.col("_cap").cast("double") / F.col("_sum"))
     step2 = step1.withColumn("_scaled", F.when(F.col("_sum") > 0, scaled).otherwise(F.lit(0.0)))

@@ -22,7 +22,7 @@ TABLES = (
 ).split()
 
 
-def test_session():
+def oracle_session():
     return build_session(
         "riskloom-tests",
         f"local[{os.environ.get('BENCH_CPUS', '8')}]",
@@ -89,7 +89,7 @@ def main(argv: list[str]) -> int:
 
     sf = argv[0] if argv else "sf0.01"
     folder = f"/root/testdata/{sf}"
-    spark = test_session()
+    spark = oracle_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     queries, sqls = entry.queries(), entry.oracle_sql()
