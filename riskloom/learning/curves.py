@@ -7,25 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.scans import running_totals
+from riskloom.operators.scans import ordered_totals
 
 
-def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int = 1000) -> DataFrame:
+def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int | None = 64) -> DataFrame:
     """Counts at and above each distinct score, highest first; ties are one point.
 
     Scores are grouped first, then added up bin by bin, so that neither a hot entity nor
-    the global curve passes through one task. ``bins`` per unit of score.
+    the global curve passes through one task. ``bins=None`` suits scores with few distinct
+    values.
     """
     points = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("n")
     )
-    run = running_totals(points, keys, F.floor(-F.col("threshold") * bins), [F.desc("threshold")], {"tp": F.col("pos"), "selected": F.col("n")})
+    run = ordered_totals(points, keys, "threshold", {"tp": F.col("pos"), "selected": F.col("n")}, bins, descending=True, label="scores")
     totals = points.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("n").alias("rows"))
     out = run.join(totals, list(keys)) if keys else run.crossJoin(F.broadcast(totals))  # one row
     return out.withColumn("fp", F.col("selected") - F.col("tp"))
 
 
-def precision_recall(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int = 1000) -> DataFrame:
+def precision_recall(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int | None = 64) -> DataFrame:
     curve = score_curve(df, score, label, keys, bins)
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("positives")), F.lit(0.0))
     return curve.select(
@@ -33,7 +34,7 @@ def precision_recall(df: DataFrame, score: str, label: str, keys: Sequence[str]
     )
 
 
-def ranking_areas(df: DataFrame, score: str, label: str, keys: Sequence[str], bins: int = 1000) -> DataFrame:
+def ranking_areas(df: DataFrame, score: str, label: str, keys: Sequence[str], bins: int | None = 64) -> DataFrame:
     """ROC area with tied ranks averaged, average precision, trapezoid PR area; null for one class."""
     c = score_curve(df, score, label, keys, bins)
     neg = F.col("n") - F.col("pos")

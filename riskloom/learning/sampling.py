@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import clean
 from riskloom.functions.numeric import keyed_uniform
+from riskloom.operators import scans
 from riskloom.operators import tables as tb
-from riskloom.operators.scans import running_totals
+from riskloom.session import settle
 
 HASH_CHARS = 3  # 16 ** 3 buckets
+SLICES = 4  # tasks per block of a neighbour search
 
 
 def seeded_hash(seed: int, *keys: str) -> Column:
@@ -64,7 +66,7 @@ def under_sample(df: DataFrame, label: str, keys: Sequence[str], seed: int) -> D
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, seed: int, by: Sequence[str] = (), name: str = "fold") -> DataFrame:
     """Fold 0..k-1 for each row, dealt out in hash order within each class."""
     rows = df.withColumn("_h", seeded_hash(seed, *keys))
-    ranked = running_totals(rows, [*by, label], F.substring("_h", 1, HASH_CHARS), ["_h", *keys], {"_rank": F.lit(1)})
+    ranked = scans.running_totals(rows, [*by, label], F.substring("_h", 1, HASH_CHARS), ["_h", *keys], {"_rank": F.lit(1)})
     return ranked.withColumn(name, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_h", "_rank")
 
 
@@ -88,7 +90,7 @@ def _block_neighbours(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> p
     return pd.DataFrame(out, columns=["id", "other", "distance"])
 
 
-def nearest_neighbours(df: DataFrame, key: str, features: Sequence[str], k: int, block_rows: int = 2000, bins: int = 4096) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str, features: Sequence[str], k: int, block_rows: int = 2000, bins: int = 256) -> DataFrame:
     """Exact k nearest neighbours of every row among all rows: id, other, distance, rank.
 
     Rows are cut into blocks along the first feature. Each block finds candidates inside
@@ -98,21 +100,16 @@ def nearest_neighbours(df: DataFrame, key: str, features: Sequence[str], k: int,
     """
     cells = F.array(*[F.col(f).cast("double") for f in features])
     points = df.select(F.col(key).cast("bigint").alias("id"), cells.alias("v")).withColumn("x", F.col("v")[0])
-    span = points.agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    cuts = settle(scans.equal_bins(points, [], "x", bins), "cuts")  # one row of bins - 1 numbers
 
-    def bin_of(x: Column) -> Column:
-        width = F.col("_hi") - F.col("_lo")
-        held = F.greatest(F.least(x, F.col("_hi")), F.col("_lo"))
-        return F.when(width > 0, F.floor((held - F.col("_lo")) / width * bins)).otherwise(F.lit(0)).cast("bigint")
-
-    binned = points.crossJoin(F.broadcast(span)).withColumn("bin", bin_of(F.col("x")))  # span: one row
-    placed = running_totals(binned, [], "bin", ["x", "id"], {"_place": F.lit(1)})
-    placed = placed.withColumn("block", F.floor((F.col("_place") - 1) / block_rows)).drop("_place")
+    binned = points.crossJoin(F.broadcast(cuts)).withColumn("bin", scans.bin_of(F.col("x"))).drop("_edges")
+    placed = scans.running_totals(binned, [], "bin", ["x", "id"], {"_place": F.lit(1)})
+    placed = settle(placed.withColumn("block", F.floor((F.col("_place") - 1) / block_rows)).drop("_place"), "blocks")
     edges = placed.groupBy("block").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
 
-    # first and last block at or beyond each bin: a table of bins + 1 rows, safe to broadcast
+    # first and last block at or beyond each bin: a table of at most ``bins`` rows, safe to broadcast
     per_bin = placed.groupBy("bin").agg(F.min("block").alias("_first"), F.max("block").alias("_last"))
-    all_bins = df.sparkSession.range(bins + 1).withColumnRenamed("id", "bin")
+    all_bins = df.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("bin"))
     w = Window.orderBy("bin")
     reach_of = all_bins.join(per_bin, "bin", "left").select(
         "bin",
@@ -126,15 +123,22 @@ def nearest_neighbours(df: DataFrame, key: str, features: Sequence[str], k: int,
 
     members = placed.select(*[F.col(c).alias(c) for c in ("id", "v", "block")])
     own = placed.select("id", "v", "block").groupBy("block").cogroup(members.groupBy("block")).applyInPandas(search, schema)
+    own = settle(own, "near")
     bound = own.groupBy("id").agg(F.max("distance").alias("_d"), F.count("*").alias("_found"))
     aim = placed.join(bound, "id", "left").withColumn("_d", F.when(F.col("_found") >= k, F.col("_d")).otherwise(F.lit(float("inf"))))
-    aim = aim.withColumns({"_b0": bin_of(F.col("x") - F.col("_d")), "_b1": bin_of(F.col("x") + F.col("_d"))})
+    aim = aim.crossJoin(F.broadcast(cuts))
+    aim = aim.withColumns({"_b0": scans.bin_of(F.col("x") - F.col("_d")), "_b1": scans.bin_of(F.col("x") + F.col("_d"))}).drop("_edges")
     aim = aim.join(F.broadcast(reach_of.select(F.col("bin").alias("_b0"), "from_block")), "_b0")
     aim = aim.join(F.broadcast(reach_of.select(F.col("bin").alias("_b1"), "to_block")), "_b1")
+    # a bin without rows at either end leaves nothing to visit there
+    aim = aim.filter("from_block <= to_block")
     visits = aim.select("id", "v", "x", "_d", F.col("block").alias("_home"), F.explode(F.sequence("from_block", "to_block")).alias("block"))
     inside = (F.col("lo") <= F.col("x") + F.col("_d")) & (F.col("hi") >= F.col("x") - F.col("_d"))
     visits = visits.filter("block <> _home").join(edges, "block").filter(inside).select(*[F.col(c).alias(c) for c in ("id", "v", "block")])
-    far = visits.groupBy("block").cogroup(members.groupBy("block")).applyInPandas(search, schema)
+    # visitors of a block are searched in slices, so a popular block is many tasks
+    sliced = visits.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
+    copies = members.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    far = sliced.groupBy("block", "slice").cogroup(copies.groupBy("block", "slice")).applyInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
     return own.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -151,7 +155,7 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], seed: in
     rows = df.filter(F.col(label) == minority).select(F.col(key).cast("bigint").alias("id"), *[F.col(f).cast("double").alias(f) for f in features])
     if few < 2 or missing == 0:
         return rows.limit(0).withColumn("draw", F.lit(0))
-    ranked = running_totals(
+    ranked = scans.running_totals(
         rows.withColumn("_h", seeded_hash(seed, "id")), [], F.substring("_h", 1, HASH_CHARS), ["_h", "id"], {"_place": F.lit(1)}
     )
     each, rest = divmod(missing, few)

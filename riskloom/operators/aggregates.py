@@ -38,16 +38,20 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return out.select(*columns) if columns else out
 
 
-def quartiles(value: str | Column, prefix: str = "") -> list[Column]:
-    """Median, quartiles and count of finite values; for domains with few distinct values."""
+def quartiles(value: str | Column, prefix: str = "", weight: str | None = None) -> list[Column]:
+    """Median, quartiles and count of finite values; for domains with few distinct values.
+
+    ``weight`` names a column with the count a row stands for.
+    """
     v = as_col(value).cast("double")
     inf = float("inf")
     finite = F.when(~F.isnan(v) & (v < inf) & (v > -inf), v)
+    n = F.col(weight) if weight else F.lit(1)
     return [
-        F.percentile(finite, 0.5).alias(f"{prefix}median"),
-        F.percentile(finite, 0.25).alias(f"{prefix}q1"),
-        F.percentile(finite, 0.75).alias(f"{prefix}q3"),
-        F.count(finite).alias(f"{prefix}count"),
+        F.percentile(finite, F.lit(0.5), n).alias(f"{prefix}median"),
+        F.percentile(finite, F.lit(0.25), n).alias(f"{prefix}q1"),
+        F.percentile(finite, F.lit(0.75), n).alias(f"{prefix}q3"),
+        F.coalesce(F.sum(F.when(finite.isNotNull(), n)), F.lit(0)).cast("bigint").alias(f"{prefix}count"),
     ]
 
 

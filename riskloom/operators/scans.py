@@ -47,24 +47,42 @@ def running_totals(
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = 512) -> DataFrame:
-    """Per key: each distinct value with its count ``n`` and the count ``cum`` up to it."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    return _with_cum(settle(counts, "counts") if bins else counts, keys, bins)
+def equal_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
+    """Per key, an array of cuts ``_edges`` that split its rows into about equal parts, whatever
+    their distribution. Cuts are approximate and only steer the load: results never depend on them."""
+    steps = [i / bins for i in range(1, bins)]
+    return df.groupBy(*keys).agg(F.percentile_approx(value, steps, 10000).alias("_edges"))
+
 
+def bin_of(value: Column) -> Column:
+    return F.size(F.filter("_edges", lambda e: e <= value))
 
-def _with_cum(counts: DataFrame, keys: Sequence[str], bins: int | None) -> DataFrame:
-    """Add ``cum``. Values are cut into ``bins`` equal-width bins per key, so that no task holds all
-    values of a key; without bins one does, which suits domains that are known to be small."""
+
+def ordered_totals(
+    table: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], bins: int | None = 64, descending: bool = False, label: str = "ordered"
+) -> DataFrame:
+    """Running sums per key in the order of ``value``, which is unique per key.
+
+    Values are cut into bins of about equal size, so no task holds all values of a key.
+    With ``bins=None`` one does, which suits domains that are known to be small.
+    """
+    order = F.desc(value) if descending else F.asc(value)
     if not bins:
-        order = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumn("cum", F.sum("n").over(order))
-    span = counts.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    cut = counts.join(span, list(keys)) if keys else counts.crossJoin(F.broadcast(span))  # span: one row
-    width = F.col("_hi") - F.col("_lo")
-    bin_no = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width * bins)).otherwise(F.lit(0))
-    cut = cut.withColumn("_bin", bin_no.cast("bigint")).drop("_lo", "_hi")
-    return running_totals(cut, keys, "_bin", ["value"], {"cum": F.col("n")}).drop("_bin")
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return table.withColumns({n: F.sum(e).over(w) for n, e in sums.items()})
+    table = settle(table, label)
+    edges = equal_bins(table, keys, value, bins)
+    cut = table.join(edges, list(keys)) if keys else table.crossJoin(F.broadcast(edges))  # edges: one row
+    place = bin_of(F.col(value))
+    # approximate cuts may differ between two runs, so the bin of each row is written down
+    cut = settle(cut.withColumn("_bin", -place if descending else place).drop("_edges"), label)
+    return running_totals(cut, keys, "_bin", [order], sums).drop("_bin")
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = 64) -> DataFrame:
+    """Per key: each distinct value with its count ``n`` and the count ``cum`` up to it."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    return ordered_totals(counts, keys, "value", {"cum": F.col("n")}, bins)
 
 
 def _targets(counts: DataFrame, keys: Sequence[str], probs: Sequence[float], total: Column | None = None) -> DataFrame:
@@ -77,7 +95,7 @@ def _targets(counts: DataFrame, keys: Sequence[str], probs: Sequence[float], tot
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bins: int = 512
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bins: int | None = 64
 ) -> DataFrame:
     """Exact quantiles with linear interpolation for values of any domain, plus ``count``.
 
@@ -108,7 +126,7 @@ def exact_quantiles(
 
 
 def leave_one_out_quantiles(
-    df: DataFrame, entity: str, value: str, probs: Mapping[str, float], buckets: int = 1024, bins: int | None = 512
+    df: DataFrame, entity: str, value: str, probs: Mapping[str, float], buckets: int = 1024, bins: int | None = 64, weight: str | None = None
 ) -> DataFrame:
     """For each entity, quantiles over the rows of all *other* entities, without pairing them.
 
@@ -116,13 +134,15 @@ def leave_one_out_quantiles(
     counts of all rows and of the entity's own rows, the k-th smallest foreign value is the
     first v with G(v) >= k + E', where E' counts the own rows before the first own value at
     which G - E reaches k. Those positions are then looked up in G by an equi join on
-    count buckets.
+    count buckets. ``weight`` names a column with the count a row stands for.
     """
     names = list(probs)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(entity, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    size = F.sum(weight) if weight else F.count("*")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(entity, F.col(value).alias("value")).agg(size.alias("n"))
     counts = settle(counts, "counts")  # the rows themselves are read once
-    own = _with_cum(counts, [entity], bins).select(entity, "value", F.col("n").alias("own_n"), F.col("cum").alias("own_cum"))
-    world = _with_cum(counts.groupBy("value").agg(F.sum("n").alias("n")), [], bins)
+    cum = {"cum": F.col("n")}
+    own = ordered_totals(counts, [entity], "value", cum, bins).select(entity, "value", F.col("n").alias("own_n"), F.col("cum").alias("own_cum"))
+    world = ordered_totals(counts.groupBy("value").agg(F.sum("n").alias("n")), [], "value", cum, bins)
     world = world.select("value", F.col("n").alias("all_n"), F.col("cum").alias("all_cum"))
     total = counts.agg(F.sum("n").alias("_total"))
     sizes = own.groupBy(entity).agg(F.sum("own_n").alias("own_total"))

@@ -33,21 +33,22 @@ def with_duration_statistics(days: DataFrame, units: DataFrame, mode: str) -> Da
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    # read by every level below, so written once
-    units = settle(units.select("project", "commit_day", "units"), "units")
-    overall = units.agg(*ag.quartiles("units"))
+    # Detections shrink to counts per project, day and duration before any level reads
+    # them; the table is written once.
+    units = settle(units.groupBy("project", "commit_day", "units").agg(F.count("*").alias("n")), "units")
+    overall = units.agg(*ag.quartiles("units", weight="n"))
     out = days
     if mode == "per_project":
         windows = days.filter("fold IS NOT NULL").select("project", "fold", "train_start", "train_end").distinct()
         inside = jn.interval_join(units, windows, "project", "commit_day", "train_start", "train_end")
-        per_fold = inside.groupBy("project", "fold").agg(*ag.quartiles("units"))
-        per_project = units.groupBy("project").agg(*ag.quartiles("units"))
+        per_fold = inside.groupBy("project", "fold").agg(*ag.quartiles("units", weight="n"))
+        per_project = units.groupBy("project").agg(*ag.quartiles("units", weight="n"))
         out = out.join(_named(per_fold, "fold", "project", "fold"), ["project", "fold"], "left")
         out = out.join(_named(per_project, "project", "project"), "project", "left")
         levels = ["fold", "project", "global"]
     else:
         # whole days times a rate: few distinct values
-        others = scans.leave_one_out_quantiles(units, "project", "units", QUARTILES, bins=None)
+        others = scans.leave_one_out_quantiles(units, "project", "units", QUARTILES, bins=None, weight="n")
         known = _named(others, "others", "project")
         out = out.join(known, "project", "left")
         # a project without detections of its own is left out of nothing

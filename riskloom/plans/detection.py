@@ -35,7 +35,7 @@ def level_statistics(units: DataFrame, exact_any_domain: bool = False) -> DataFr
         both = units.rollup("project").agg(*ag.quartiles("units")).withColumn(
             "level", F.when(F.col("project").isNull(), "global").otherwise("project")
         )
-    others = scans.leave_one_out_quantiles(units, "project", "units", QUARTILES, bins=512 if exact_any_domain else None).withColumn("level", F.lit("others"))
+    others = scans.leave_one_out_quantiles(units, "project", "units", QUARTILES, bins=64 if exact_any_domain else None).withColumn("level", F.lit("others"))
     columns = ["level", "project", "median", "q1", "q3", "count"]
     return both.select(*columns).unionByName(others.select(*columns))
 
