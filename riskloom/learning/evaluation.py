@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -182,8 +183,6 @@ def parameter_search(
     ``rows`` has a ``_chunk`` from 0 to ``folds``. Returns one row per draw, the best
     settings and the model fitted on everything.
     """
-    import random
-
     rng = random.Random(seed)
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderPR")
     results = []

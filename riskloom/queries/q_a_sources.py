@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.functions import clean
 from riskloom.functions import records as rec
 from riskloom.operators import text_features as tf
-from riskloom.queries import standins as s
 from riskloom.queries.q_h_functions import advisory_json
 from riskloom.queries.registry import query
 from riskloom.session import load, scratch_path
@@ -251,7 +249,7 @@ _SPACES = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
 
 
 @query("a13_report_lines", f"""WITH {DOC_LINES_CTE}
-SELECT doc_id, line_no, {_SPACES} AS content, CASE line_no % 4 WHEN 1 THEN 1500 WHEN 2 THEN 2000000 WHEN 3 THEN 0 END AS execute FROM doc_lines""")
+SELECT doc_id, line_no, {_SPACES} AS content, CAST(CASE line_no % 4 WHEN 1 THEN 1500 WHEN 2 THEN 2000000 WHEN 3 THEN 0 END AS BIGINT) AS execute FROM doc_lines""")
 def report_lines(spark, sf):
     return rd.report_lines(report_pages(spark, sf), ["doc_id"], "html")
 

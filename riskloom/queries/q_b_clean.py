@@ -200,7 +200,7 @@ def utc_day(spark, sf):
 
 
 @query("b13_feature_columns", """
-SELECT c_custkey, c_acctbal, c_nationkey, length(c_name) AS text_1, length(c_mktsegment) AS text_2 FROM customer""")
+SELECT c_custkey, c_acctbal, c_nationkey, CAST(length(c_name) AS INTEGER) AS text_1, CAST(length(c_mktsegment) AS INTEGER) AS text_2 FROM customer""")
 def feature_columns(spark, sf):
     df = load(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment",

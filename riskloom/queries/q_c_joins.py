@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from riskloom.functions import clean as c
 from riskloom.functions import text as tx
 from riskloom.operators import joins as jn
-from riskloom.operators import scans
 from riskloom.operators import sets as st
 from riskloom.operators import windows as wn
 from riskloom.plans import budgets, detection, features, summaries

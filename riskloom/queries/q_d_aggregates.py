@@ -8,9 +8,8 @@ from riskloom.functions import clean as c
 from riskloom.functions import numeric as nm
 from riskloom.functions import text as tx
 from riskloom.operators import aggregates as ag
-from riskloom.operators import scans
-from riskloom.operators import tables as tb
-from riskloom.plans import funnel, summaries
+from riskloom.operators import ranking, scans
+from riskloom.plans import detection, funnel, summaries
 from riskloom.queries import standins as s
 from riskloom.queries.registry import query
 from riskloom.session import load
@@ -67,8 +66,6 @@ UNION ALL SELECT 'global', NULL, quantile_cont(units, 0.5), quantile_cont(units,
 UNION ALL SELECT 'others', p.project, quantile_cont(units, 0.5), quantile_cont(units, 0.25), quantile_cont(units, 0.75), count(*)
   FROM (SELECT DISTINCT project FROM units) p JOIN units u ON u.project <> p.project GROUP BY p.project""")
 def three_level_statistics(spark, sf):
-    from riskloom.plans import detection
-
     units = detection.detection_units(s.detections(spark, sf), s.rates(spark, sf))
     return detection.level_statistics(units)
 
@@ -275,8 +272,6 @@ def pivot_sum(spark, sf):
 SELECT event_type AS model, round(CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(*), 6) AS top_mean FROM
  (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 5 GROUP BY 1""")
 def top_n_mean(spark, sf):
-    from riskloom.operators import ranking
-
     top = ranking.top_per_group(load(spark, sf, "events"), ["event_type"], [F.desc("value"), F.col("event_id")], 5)
     return top.groupBy(F.col("event_type").alias("model")).agg(
         F.round(F.sum(F.col("value").cast("decimal(12,2)")).cast("double") / F.count("*"), 6).alias("top_mean")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions import text as tx
 from riskloom.learning import curves
-from riskloom.operators import patches as pt
+from riskloom.operators import aggregates as ag
+from riskloom.operators import windows as wn
 from riskloom.plans import attribution as at
 from riskloom.plans import budgets as bd
 from riskloom.plans import comparison as cp
@@ -21,10 +23,11 @@ from riskloom.queries.q_c_joins import HISTORY_CTE, LABELLED_CTE, labelled
 from riskloom.queries.q_d_aggregates import _plan
 from riskloom.queries.q_e_windows import CURVE_CTE, TIMELINE_CTE, timeline
 from riskloom.queries.q_h_functions import _URLS_SQL, advisory_json, repos
-from riskloom.queries.q_i_text import TFIDF_CTE, TFIDF_STOP, patches
+from riskloom.queries.q_i_text import TFIDF_CTE, TFIDF_STOP
 from riskloom.queries.registry import query
-from riskloom.session import load, settle
+from riskloom.session import load, scratch_path, settle
 from riskloom.sources import readers as rd
+from riskloom.sources import writers as wr
 
 # Daily totals of the stand-in coverage: one row per project and order day of status O.
 _COVERAGE = """cov AS (SELECT o_orderpriority AS project, CAST(o_orderdate AS DATE) AS day, count(*) AS lines, CAST(sum(o_custkey % 50) AS BIGINT) AS hits FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL)"""
@@ -306,8 +309,6 @@ def result_table(spark, sf):
 @query("l14_build_timeline", f"""WITH {s.SCORED_CTE}, {s.RATES_CTE}
 SELECT s.project, CAST(max(day) AS VARCHAR) AS last_day, count(*) AS days, CAST(count(*) * max(coalesce(rate, 0)) AS BIGINT) AS cumulative_units FROM scored s JOIN rates r ON s.project = r.project GROUP BY 1""")
 def build_timeline(spark, sf):
-    from riskloom.operators import windows as wn
-
     table = tl.build_timeline(s.scored(spark, sf).select("project", "day"), s.rates(spark, sf))
     out = wn.timeline_summary(table)
     return out.select("project", F.col("last_day").cast("string").alias("last_day"), F.col("day_index").cast("bigint").alias("days"), "cumulative_units")
@@ -352,8 +353,6 @@ def dataset_funnel(spark, sf):
 t AS (SELECT project, count(DISTINCT CASE WHEN issue_id <> '' THEN issue_id WHEN trim(introduced) <> '' THEN 'introduced:' || introduced ELSE 'row_' || order_no END) AS targets FROM detections GROUP BY 1)
 SELECT dy.project, count(*) AS total_days, CAST(sum(hit) AS BIGINT) AS days_with, CAST(min(day) AS VARCHAR) AS first_day, coalesce(max(targets), 0) AS targets FROM dy LEFT JOIN t ON t.project = dy.project GROUP BY 1""")
 def per_project_statistics(spark, sf):
-    from riskloom.functions import text as tx
-
     days = s.lines_by_project(spark, sf, "l_shipdate", "l_returnflag").select(
         "project", F.to_date("l_shipdate").alias("day"), (F.col("l_returnflag") == "R").cast("int").alias("flag")
     )
@@ -366,9 +365,6 @@ def per_project_statistics(spark, sf):
 SELECT CAST(o_custkey AS BIGINT) AS issue_id, 'A-' || o_orderkey AS advisory_id, 'p' || (o_orderkey % 25) AS package, 'i' || o_orderkey || ';j' || o_orderkey AS introduced_commits, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS published
 FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' ORDER BY 1, 2""")
 def advisory_table(spark, sf):
-    from riskloom.session import scratch_path
-    from riskloom.sources import writers as wr
-
     path = scratch_path(spark, "advisory")
     wr.write_json(advisory_json(spark, sf), path, "raw")
     start, end = (F.lit(t).cast("timestamp") for t in ("1996-01-01", "1999-12-31 12:00:00"))
@@ -451,8 +447,6 @@ def advisory_summary(spark, sf):
 SELECT 'median' AS strategy, count(*) AS rows, CAST(sum(ceil(med)) AS BIGINT) AS scheduled FROM st WHERE mode = 'per_project' AND fold IS NOT NULL AND rate > 0 AND ceil(med) > 0
 UNION ALL SELECT 'iqr', count(*), CAST(sum(ceil(v)) AS BIGINT) FROM (SELECT q1 + CAST(('0x' || substr(md5(project || '::' || fold || '::' || day_index || '::42'), 1, 8)) AS BIGINT) / 4294967296.0 * (q3 - q1) AS v FROM st WHERE mode = 'per_project' AND fold IS NOT NULL) WHERE ceil(v) > 0""")
 def named_strategies(spark, sf):
-    from riskloom.operators import aggregates as ag
-
     tables = [settle(labelled(spark, sf), "labelled"), settle(s.detections(spark, sf), "detections"), s.rates(spark, sf)]
     parts = [bd.run_strategy(name, *tables).select("strategy", "project", "day", "scheduled") for name in ("Strategy1", "iqr")]
     both = parts[0].unionByName(parts[1])
