@@ -57,7 +57,10 @@ def detection_table(advisories: DataFrame, issues: DataFrame, commits: DataFrame
     reported = advisories.join(issues, advisories.issue_id == issues.issue).drop("issue")
     keyed = reported.withColumns({"sha": tx.first_of_list("introduced_commits"), "repo_key": tx.owner_and_name("repo")})
     known = commits.select(tx.owner_and_name("repo").alias("repo_key"), "sha", "committed").groupBy("repo_key", "sha").agg(F.min("committed").alias("committed"))
-    out = keyed.join(known, ["repo_key", "sha"], "left")
+    # rows without a commit get a key of their own, so they do not meet in one task
+    spread = F.coalesce("sha", F.concat(F.lit("none:"), F.col("issue_id").cast("string")))
+    known = known.withColumnRenamed("sha", "_sha")
+    out = keyed.withColumn("_sha", spread).join(known, ["repo_key", "_sha"], "left").drop("_sha")
     return out.withColumn("days", nm.whole_days_between("committed", "reported"))
 
 

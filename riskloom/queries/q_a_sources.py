@@ -14,8 +14,11 @@ from riskloom.sources import writers as wr
 
 
 def in_order_of_keys(df, *keys):
-    """Rows of one output folder together, so a partitioned write makes one file per folder."""
-    return df.repartition(*keys)
+    """Rows of one output folder together, so a partitioned write makes few files per folder.
+
+    A rebalance and not a repartition: a folder that holds a third of the rows is split.
+    """
+    return df.hint("rebalance", *keys)
 
 
 @query("a01_csv_scan", """
