@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -19,22 +20,24 @@ def as_col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _shape(date_format: str) -> str:
+    """Regex of the texts a format can match. A failed parse costs far more than this test."""
+    pieces = {"yyyy": r"\d{4}", "XXX": r"(Z|[+-]\d\d:\d\d)"}
+    return "^" + re.sub(r"'T'|yyyy|XXX|MM|dd|HH|mm|ss", lambda m: pieces.get(m[0], m[0][1] if m[0] == "'T'" else r"\d\d"), date_format) + "$"
+
+
 def lenient_timestamp(value: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """First format that parses; null when none does."""
+    """First format that parses; null when none does. Formats use yyyy, MM, dd, HH, mm, ss and XXX."""
     text = F.trim(as_col(value))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
 def day_text(value: str | Column) -> Column:
-    """Day of an ISO-like text: full parse, else its leading ten characters, else empty."""
+    """Day of an ISO-like text as it is written, in its own time zone; empty when there is none."""
     text = F.trim(as_col(value))
-    parsed = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    plain = F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))
-    return F.coalesce(
-        F.date_format(F.coalesce(parsed, plain), "yyyy-MM-dd"),
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)),
-        F.lit(""),
-    )
+    leading = F.when((F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-") & (F.length(text) >= 10), F.substring(text, 1, 10))
+    short = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(text, F.lit("yyyy-M-d")))
+    return F.coalesce(leading, F.date_format(short, "yyyy-MM-dd"), F.lit(""))
 
 
 def utc_iso_text(value: str | Column) -> Column:
