@@ -51,4 +51,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of the folder; days and instants are read in UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{table}.parquet")
