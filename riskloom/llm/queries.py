@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontaminate, packing, secrets, simhash, token_counts, toxicity
+from riskloom.llm import chat, decontaminate, license_scan, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
 from riskloom.queries.registry import QueryFn
 from riskloom.session import load, scratch_path
 
@@ -77,3 +77,77 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the top of the repository
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+_TEMPLATES = ", ".join(f"('{label}', '{words}')" for label, words in license_scan.TEMPLATES)
+_BASE = {label: f"w[k : k + {len(p.split()) - 1}] = {p.split()!r}" for p, label in license_scan.PHRASES.items()}
+
+
+@query(
+    "op1_license_scan",
+    f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS w, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text FROM documents),
+    places AS (SELECT doc_id, k - 1 AS pos, CASE {" ".join(f"WHEN {c} THEN '{label}'" for label, c in _BASE.items())} END AS label
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+    base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places WHERE label IS NOT NULL GROUP BY doc_id),
+    t AS (SELECT row_number() OVER () AS number, label, list_distinct(string_split(words, ' ')) AS own FROM (VALUES {_TEMPLATES}) AS v(label, words)),
+    sentences AS (SELECT doc_id, unnest(string_split_regex(lower_text, '[.!?][ \\n]|\\n')) AS s FROM d),
+    sw AS (SELECT doc_id, row_number() OVER () AS sentence, regexp_extract_all(s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM sentences),
+    blocks AS (SELECT doc_id, sentence, k, list_distinct(w[k : k + 63]) AS b FROM (SELECT *, unnest(range(1, greatest(len(w) - 32, 1) + 1, 32)) AS k FROM sw WHERE len(w) > 0)),
+    pairs AS (SELECT doc_id, sentence, k, label, len(list_intersect(b, own)) AS shared, len(own) AS n FROM blocks, t),
+    top AS (SELECT *, max(shared) OVER (PARTITION BY doc_id, sentence, k) AS most FROM pairs WHERE shared >= ceil(round(0.8 * n, 9))),
+    found AS (SELECT doc_id, label, shared / n AS score FROM top WHERE shared = most),
+    every AS (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM places WHERE label IS NOT NULL),
+    named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
+    based AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places WHERE label IS NOT NULL) GROUP BY doc_id),
+    scored AS (SELECT doc_id, max(score) AS score FROM found GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0)::DOUBLE END AS score
+    FROM d LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN based USING (doc_id) LEFT JOIN scored USING (doc_id)""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_quality_rules",
+    """
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    grams AS (SELECT doc_id, k, w[k : k + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
+    again AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM again) GROUP BY doc_id),
+    raw_lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d),
+    own AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM raw_lines WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+    lines AS (SELECT doc_id, source, trim(regexp_replace(lower(l), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g')) AS l FROM raw_lines),
+    counted AS (SELECT source, l FROM (SELECT source, l, count(DISTINCT doc_id) AS n FROM lines WHERE l <> '' GROUP BY source, l)
+                JOIN (SELECT source, count(*) AS m FROM documents GROUP BY source) USING (source) WHERE n > 30 AND n > 0.005 * m),
+    removed AS (SELECT doc_id, sum(len(string_split(l, ' '))) AS gone FROM lines JOIN counted USING (source, l) GROUP BY doc_id),
+    m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                 coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0)::BIGINT AS n_removed_words
+          FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN removed USING (doc_id))
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= 0.5 * n_words AS kept FROM m""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(load(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_chat_format",
+    """
+    WITH r AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+    c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS t FROM r GROUP BY conv_id),
+    same AS (SELECT t, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY t),
+    proper AS (SELECT DISTINCT t[1 : k] AS t FROM (SELECT t, unnest(range(1, len(t))) AS k FROM c)),
+    kept AS (SELECT conv_id, copies FROM same ANTI JOIN proper USING (t))
+    SELECT conv_id, turn // 64 AS part, count(*) AS n_turns, copies,
+           string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+    FROM r JOIN kept USING (conv_id) GROUP BY conv_id, turn // 64, copies""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(load(spark, sf_dir, "conversations"))
