@@ -89,7 +89,7 @@ def scan_licenses(
     ``last_word``, ``base_labels``, ``labels`` and ``score``.
 
     ``labels`` joins the base labels and those of matched templates; of one block only the
-    templates with the most words in it count, ties all. ``score`` is 1 with a base label, else
+    templates with the most words in it count, of these the shortest, ties all. ``score`` is 1 with a base label, else
     the largest containment of a match, else 0. Null and empty texts have no words, no labels
     and null places. Repeated rows each get their own row; other columns are not read. A
     template must fit into half a block; an empty template matches nothing.
@@ -137,8 +137,9 @@ def scan_licenses(
         passed = probes.join(index, "token").filter(room >= F.col("least")).select("_row", "block", "ranks", "template").distinct()
         full = spark.createDataFrame(whole, "template int, label string, own array<int>, n int, least int")
         verified = passed.join(full, "template").withColumn("shared", F.size(F.array_intersect("ranks", "own"))).filter("shared >= least")
-        best = verified.groupBy("_row", "block").agg(F.max("shared").alias("most"))
-        top = verified.join(best, ["_row", "block"]).filter("shared = most")
+        # of the templates that share the most words with a block, the shortest
+        best = verified.groupBy("_row", "block").agg(F.max(F.struct("shared", (-F.col("n")).alias("short"))).alias("top"))
+        top = verified.join(best, ["_row", "block"]).filter("shared = top.shared and -n = top.short")
         matched = top.select("_row", "label", (F.col("shared") / F.col("n")).alias("score"))
     found = matched.groupBy("_row").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))

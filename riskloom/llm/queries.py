@@ -95,8 +95,8 @@ _BASE = {label: f"w[k : k + {len(p.split()) - 1}] = {p.split()!r}" for p, label
     sw AS (SELECT doc_id, row_number() OVER () AS sentence, regexp_extract_all(s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM sentences),
     blocks AS (SELECT doc_id, sentence, k, list_distinct(w[k : k + 63]) AS b FROM (SELECT *, unnest(range(1, greatest(len(w) - 32, 1) + 1, 32)) AS k FROM sw WHERE len(w) > 0)),
     pairs AS (SELECT doc_id, sentence, k, label, len(list_intersect(b, own)) AS shared, len(own) AS n FROM blocks, t),
-    top AS (SELECT *, max(shared) OVER (PARTITION BY doc_id, sentence, k) AS most FROM pairs WHERE shared >= ceil(round(0.8 * n, 9))),
-    found AS (SELECT doc_id, label, shared / n AS score FROM top WHERE shared = most),
+    top AS (SELECT *, max(shared * 1000 - n) OVER (PARTITION BY doc_id, sentence, k) AS most FROM pairs WHERE shared >= ceil(round(0.8 * n, 9))),
+    found AS (SELECT doc_id, label, shared / n AS score FROM top WHERE shared * 1000 - n = most),
     every AS (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM places WHERE label IS NOT NULL),
     named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
     based AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places WHERE label IS NOT NULL) GROUP BY doc_id),
