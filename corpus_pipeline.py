@@ -27,14 +27,14 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = simhash.near_duplicates(docs)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which fewer than one word in twenty lies in a benchmark window."""
     hits = decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark"))
-    bad = decontaminate.contamination_report(hits).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = decontaminate.contamination_report(hits).filter("contaminated").select("doc_id")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

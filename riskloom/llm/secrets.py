@@ -187,7 +187,7 @@ def _ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def _scan(rules: tuple[Rule, ...], carry: bool):
+def _scan(rules: tuple[Rule, ...], redacted: str | None = None):
     queries = [trigram_query(r) for r in rules]
     needed = sorted({t for q in queries for clause in q for alternative in clause for t in alternative})
 
@@ -210,16 +210,13 @@ def _scan(rules: tuple[Rule, ...], carry: bool):
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            kept = batch.select([i for i in range(batch.num_columns) if i != at])
+            at = batch.schema.get_field_index(redacted)
             named = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
             for found in run(iter([named])):
                 texts = [blotted(t, s) for t, s in zip(batch.column(at).to_pylist(), found.column("spans").to_pylist())]
-                arrays = list(kept.columns)
-                arrays.insert(at, pa.array(texts, batch.schema.field(at).type))
-                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return redact if carry else run
+    return redact if redacted else run
 
 
 def blotted(text: str | None, spans: list[dict], mark: str = "[SECRET]") -> str | None:
@@ -247,7 +244,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts of different kinds are all listed, other columns are not read.
     """
     texts = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return texts.mapInArrow(_scan(tuple(rules), False), _FOUND)
+    return texts.mapInArrow(_scan(tuple(rules)), _FOUND)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -255,9 +252,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule
 
     Overlapping and touching spans give one mark. Null texts stay null.
     """
-    renamed = docs if text_col == "text" else docs.withColumnRenamed(text_col, "text")
-    done = renamed.mapInArrow(_scan(tuple(rules), True), renamed.schema)
-    return done if text_col == "text" else done.withColumnRenamed("text", text_col)
+    return docs.mapInArrow(_scan(tuple(rules), text_col), docs.schema)
 
 
 def secret_report(found: DataFrame) -> DataFrame:

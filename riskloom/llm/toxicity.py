@@ -185,12 +185,12 @@ def score_text(raw: bytes, model: Model, offending: float = OFFENDING) -> tuple[
     return max(0.0, float(-np.expm1(clean))), located
 
 
-def _scoring(model, carry: bool, threshold: float):
+def _scoring(model, text_col: str, carry: bool = False, threshold: float = 0.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         kind = pa.list_(pa.struct([("sentence", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            scored = [score_text(x, own) for x in as_bytes(batch.column("text"))]
+            scored = [score_text(x, own) for x in as_bytes(batch.column(batch.schema.get_field_index(text_col)))]
             if carry:
                 yield batch.filter(pa.array([s < threshold for s, _ in scored], pa.bool_()))
             else:
@@ -206,14 +206,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts score 0. Repeated rows each get their own row; other columns are not read.
     """
     texts = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return texts.mapInArrow(_scoring(docs.sparkSession.sparkContext.broadcast(model), False, 0.0), _SCORES)
+    return texts.mapInArrow(_scoring(docs.sparkSession.sparkContext.broadcast(model), "text"), _SCORES)
 
 
 def keep_civil(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` whose score is below ``threshold``, with all their columns."""
-    renamed = docs if text_col == "text" else docs.withColumnRenamed(text_col, "text")
-    done = renamed.mapInArrow(_scoring(docs.sparkSession.sparkContext.broadcast(model), True, threshold), renamed.schema)
-    return done if text_col == "text" else done.withColumnRenamed("text", text_col)
+    return docs.mapInArrow(_scoring(docs.sparkSession.sparkContext.broadcast(model), text_col, True, threshold), docs.schema)
 
 
 def toxicity_report(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
