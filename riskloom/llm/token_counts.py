@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.texts import as_bytes, only
 from riskloom.llm.tokens import encoder, named_path
+from riskloom.session import settle
 
 LIMIT = 512
 _CACHE = "digest binary, version string, n_tokens long"
@@ -67,11 +68,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     texts = only(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     digested = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest"), "text")
     stored = lambda: read_cache(spark, cache).filter(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    # What is known goes first, then each missing text is taken once.
-    missing = digested.select("digest", "text").join(stored().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    # Copies meet before the shuffle, so a text that a third of the rows hold is sent once per task.
+    distinct = digested.groupBy("digest").agg(F.first("text").alias("text"))
+    missing = distinct.join(stored().select("digest"), "digest", "left_anti")
     counted = missing.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long").select("digest", F.lit(version).alias("version"), "n_tokens")
     counted.write.mode("append").parquet(cache)
-    return digested.drop("text").join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # Written down, so the join stands on plain shuffles and Spark can split a hot digest.
+    counts = settle(stored(), "token-counts")
+    return digested.drop("text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def token_report(counted: DataFrame, limit: int = LIMIT) -> DataFrame:
