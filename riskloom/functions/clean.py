@@ -13,7 +13,9 @@ CODE_EXTENSIONS = ["c", "cc", "cpp", "cxx", "c++", "h", "hh", "hpp", "hxx", "h++
 # Texts read as true.
 TRUE_WORDS = ["true", "1", "t", "yes"]
 
-DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd")
+# Days, and days with a time; a text without a zone is in UTC. Anything else is no time.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd")
+_TIME = r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d(?::\d\d)?)(?:[.,](\d{1,9}))?\s?(Z|z|UTC|[+-]\d\d(?::?\d\d)?)?$"
 
 
 def as_col(value: str | Column) -> Column:
@@ -22,14 +24,32 @@ def as_col(value: str | Column) -> Column:
 
 def _shape(date_format: str) -> str:
     """Regex of the texts a format can match. A failed parse costs far more than this test."""
-    pieces = {"yyyy": r"\d{4}", "XXX": r"(Z|[+-]\d\d:\d\d)"}
-    return "^" + re.sub(r"'T'|yyyy|XXX|MM|dd|HH|mm|ss", lambda m: pieces.get(m[0], m[0][1] if m[0] == "'T'" else r"\d\d"), date_format) + "$"
+    return "^" + re.sub(r"yyyy|MM|dd", lambda m: r"\d{4}" if m[0] == "yyyy" else r"\d\d", date_format) + "$"
+
+
+def iso_timestamp(value: str | Column) -> Column:
+    """ISO-like times: ``T`` or a blank, optional seconds, fraction (to microseconds) and zone
+    (``Z``, ``+hh``, ``+hhmm`` or ``+hh:mm``; without one UTC); null for any other text."""
+    text = F.trim(as_col(value))
+    part = lambda k: F.regexp_extract(text, _TIME, k)
+    clock = F.when(F.length(part(2)) == 5, F.concat(part(2), F.lit(":00"))).otherwise(part(2))
+    digits = F.replace(F.replace(part(4), F.lit(":"), F.lit("")), F.lit("UTC"), F.lit(""))
+    zone = F.when(digits.rlike(r"^[+-]"), F.concat(F.substring(digits, 1, 3), F.lit(":"), F.rpad(F.substring(digits, 4, 2), 2, "0"))).otherwise(F.lit("+00:00"))
+    plain = F.concat(part(1), F.lit(" "), clock, F.lit("."), F.rpad(F.substring(part(3), 1, 6), 6, "0"), zone)
+    return F.when(text.rlike(_TIME), F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSXXX")))
 
 
 def lenient_timestamp(value: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """First format that parses; null when none does. Formats use yyyy, MM, dd, HH, mm, ss and XXX."""
+    """ISO-like times, else the first day format that parses; null when none does. Formats use
+    yyyy, MM and dd."""
     text = F.trim(as_col(value))
-    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    return F.coalesce(iso_timestamp(text), *[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
+
+
+def instant(value: str | Column) -> Column:
+    """A time from a text, a date or a time; a text that is none becomes null."""
+    value = as_col(value)
+    return F.coalesce(value.try_cast("timestamp"), lenient_timestamp(value.cast("string")))
 
 
 def day_text(value: str | Column) -> Column:
@@ -41,11 +61,13 @@ def day_text(value: str | Column) -> Column:
 
 
 def utc_iso_text(value: str | Column) -> Column:
-    return F.date_format(as_col(value).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    """ISO text in UTC; null where the value is no time."""
+    return F.date_format(instant(value), "yyyy-MM-dd'T'HH:mm:ssxxx")
 
 
 def utc_day(value: str | Column) -> Column:
-    return F.to_date(as_col(value))
+    """Day in UTC; null where the value is no time."""
+    return F.to_date(instant(value))
 
 
 def truthy_words(value: str | Column) -> Column:

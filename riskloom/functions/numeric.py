@@ -7,31 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riskloom.functions.clean import as_col
+from riskloom.functions.clean import as_col, instant
 
 EPS = 1e-9
 
 
+def _number(value: str | Column) -> Column:
+    """The value as a double; text that is no number becomes null."""
+    return as_col(value).cast("string").try_cast("double")
+
+
 def first_positive(candidates: Sequence[str | Column]) -> Column:
     """First finite value above zero, else infinity."""
     inf = F.lit(float("inf"))
     picks = []
     for c in candidates:
-        v = as_col(c).cast("double")
+        v = _number(c)
         picks.append(F.when((v > 0) & (v < inf) & ~F.isnan(v), v))
     return F.coalesce(*picks, inf)
 
 
 def scaled_duration(days: str | Column, rate: str | Column) -> Column:
     """Days times the rate where there is a positive rate, else the days; negatives are null."""
-    d, r = as_col(days).cast("double"), as_col(rate).cast("double")
+    d, r = _number(days), _number(rate)
     return F.when(d >= 0, F.when(r > 0, d * r).otherwise(d))
 
 
 def whole_days_between(start: str | Column, end: str | Column) -> Column:
-    """Floor of the exact span, so a negative part of a day counts as a full one."""
-    seconds = F.unix_micros(as_col(end).cast("timestamp")) - F.unix_micros(as_col(start).cast("timestamp"))
-    return F.floor(seconds / F.lit(86400000000)).cast("bigint")
+    """Floor of the exact span, so a negative part of a day counts as a full one; null unless both are times."""
+    micros = F.unix_micros(instant(end)) - F.unix_micros(instant(start))
+    return F.floor(micros / F.lit(86400000000)).cast("bigint")
 
 
 def churn_weight(churn: str | Column, base: str | Column, cap: float | None = None) -> Column:

@@ -10,39 +10,32 @@ from riskloom.queries import standins as s
 from riskloom.queries.registry import query
 from riskloom.session import load
 
-_MIXED_DATES_SQL = """
-mixed AS (
-  SELECT o_orderkey AS id, CASE o_orderkey % 6
-    WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
-    WHEN 1 THEN strftime(o_orderdate, '%Y%m%d')
-    WHEN 2 THEN strftime(o_orderdate, '%Y/%m/%d')
-    WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
-    WHEN 4 THEN ' ' || strftime(o_orderdate, '%Y-%m-%d') || ' '
-    ELSE 'n/a' END AS raw
-  FROM orders)"""
-
-
-def _mixed_dates(spark, sf):
-    k, d = F.col("o_orderkey"), F.col("o_orderdate")
-    raw = (
-        F.when(k % 6 == 0, F.date_format(d, "yyyy-MM-dd"))
-        .when(k % 6 == 1, F.date_format(d, "yyyyMMdd"))
-        .when(k % 6 == 2, F.date_format(d, "yyyy/MM/dd"))
-        .when(k % 6 == 3, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
-        .when(k % 6 == 4, F.concat(F.lit(" "), F.date_format(d, "yyyy-MM-dd"), F.lit(" ")))
-        .otherwise("n/a")
-    )
-    return load(spark, sf, "orders").select(k.alias("id"), raw.alias("raw"))
+# what stands behind the day of an order, by the key modulo 10, and the time it means in UTC
+_TAILS = {3: (" 00:00:00", "00:00:00"), 5: ("T03:04:37.331327Z", "03:04:37.331327"), 6: (" 10:00:00+09:00", "01:00:00"), 7: ("T10:00:00", "10:00:00"), 8: ("T10:00:00+0900", "01:00:00")}
+
+
+def mixed_times(key, day):
+    """Times as feeds write them: days of three shapes, fractions, zones with and without colon."""
+    raw = F.when(key % 10 == 0, F.date_format(day, "yyyy-MM-dd")).when(key % 10 == 1, F.date_format(day, "yyyyMMdd")).when(key % 10 == 2, F.date_format(day, "yyyy/MM/dd"))
+    raw = raw.when(key % 10 == 4, F.concat(F.lit(" "), F.date_format(day, "yyyy-MM-dd"), F.lit(" ")))
+    for k, (tail, _) in _TAILS.items():
+        raw = raw.when(key % 10 == k, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(tail)))
+    return raw.otherwise("n/a")
+
+
+_MIXED_SQL = f"""mixed AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 9 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + CASE o_orderkey % 10
+  {" ".join(f"WHEN {k} THEN INTERVAL '{t}'" for k, (_, t) in _TAILS.items())} ELSE INTERVAL '0 seconds' END END AS ts FROM orders)"""
+
+
+def _mixed(spark, sf):
+    k = F.col("o_orderkey")
+    return load(spark, sf, "orders").select(k.alias("id"), mixed_times(k, F.col("o_orderdate")).alias("raw"))
 
 
-@query("b01_lenient_timestamp", f"""WITH {_MIXED_DATES_SQL}
-SELECT id, strftime(ts, '%Y-%m-%d') AS day FROM (
-  SELECT id, coalesce(try_strptime(trim(raw), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(raw), '%Y-%m-%d'),
-                      try_strptime(trim(raw), '%Y%m%d'), try_strptime(trim(raw), '%Y/%m/%d')) AS ts FROM mixed)
-WHERE ts IS NOT NULL""")
+@query("b01_lenient_timestamp", f"""WITH {_MIXED_SQL}
+SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM mixed""")
 def lenient_timestamp(spark, sf):
-    df = _mixed_dates(spark, sf).select("id", c.lenient_timestamp("raw").alias("ts"))
-    return df.filter("ts IS NOT NULL").select("id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return _mixed(spark, sf).select("id", F.date_format(c.lenient_timestamp("raw"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 @query("b02_day_text", """
@@ -58,9 +51,12 @@ def day_text(spark, sf):
     return load(spark, sf, "events").select("event_id", c.day_text(raw).alias("day"))
 
 
-@query("b03_utc_iso_text", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM events""")
+@query("b03_utc_iso_text", f"""WITH {_MIXED_SQL}
+SELECT 'event' AS kind, event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM events
+UNION ALL SELECT 'order', id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' FROM mixed""")
 def utc_iso_text(spark, sf):
-    return load(spark, sf, "events").select("event_id", c.utc_iso_text("ts").alias("iso"))
+    events = load(spark, sf, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), c.utc_iso_text("ts").alias("iso"))
+    return events.unionByName(_mixed(spark, sf).select(F.lit("order").alias("kind"), "id", c.utc_iso_text("raw").alias("iso")))
 
 
 _FLAG_TEXT_SQL = """
@@ -176,11 +172,11 @@ SELECT event_type, count(*) AS n FROM events
 WHERE (event_id % 3 = 0 OR ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12')
   AND (event_id % 5 = 0 OR ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-20') GROUP BY 1""")
 def missing_passes(spark, sf):
-    k, t = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    k, t = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     df = load(spark, sf, "events").select(
         "event_type",
-        F.try_to_timestamp(F.when(k % 3 == 0, "soon").otherwise(t)).alias("published"),
-        F.try_to_timestamp(F.when(k % 5 != 0, t)).alias("modified"),
+        c.lenient_timestamp(F.when(k % 3 == 0, "soon").otherwise(t)).alias("published"),
+        c.lenient_timestamp(F.when(k % 5 != 0, t)).alias("modified"),
     )
 
     def at(day: str):
@@ -194,9 +190,12 @@ def missing_passes(spark, sf):
     )
 
 
-@query("b12_utc_day", """SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events""")
+@query("b12_utc_day", f"""WITH {_MIXED_SQL}
+SELECT 'event' AS kind, event_id AS id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events
+UNION ALL SELECT 'order', id, CAST(CAST(ts AS DATE) AS VARCHAR) FROM mixed""")
 def utc_day(spark, sf):
-    return load(spark, sf, "events").select("event_id", c.utc_day("ts").cast("string").alias("day"))
+    events = load(spark, sf, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), c.utc_day("ts").cast("string").alias("day"))
+    return events.unionByName(_mixed(spark, sf).select(F.lit("order").alias("kind"), "id", c.utc_day("raw").cast("string").alias("day")))
 
 
 @query("b13_feature_columns", """

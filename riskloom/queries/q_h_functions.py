@@ -85,26 +85,30 @@ def stable_id(spark, sf):
 
 
 @query("h06_first_positive", """
-SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal WHEN c_nationkey > 0 THEN c_nationkey ELSE 'inf'::DOUBLE END AS threshold
+SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 AND c_acctbal > 0 THEN c_acctbal WHEN c_nationkey > 0 THEN c_nationkey ELSE 'inf'::DOUBLE END AS threshold
 FROM customer""")
 def first_positive(spark, sf):
-    return load(spark, sf, "customer").select("c_custkey", nm.first_positive(["c_acctbal", "c_nationkey"]).alias("threshold"))
+    balance = F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    return load(spark, sf, "customer").select("c_custkey", nm.first_positive([balance, "c_nationkey"]).alias("threshold"))
 
 
 @query("h07_scaled_duration", f"""WITH {s.DETECTIONS_CTE}, {s.RATES_CTE}
-SELECT project, order_no, line_no, part_no, CASE WHEN rate > 0 THEN days * rate ELSE CAST(days AS DOUBLE) END AS units
-FROM detections LEFT JOIN rates USING (project) WHERE days >= 0""")
+SELECT project, order_no, line_no, part_no, CASE WHEN rate > 0 AND order_no % 5 <> 0 THEN days * rate ELSE CAST(days AS DOUBLE) END AS units
+FROM detections LEFT JOIN rates USING (project) WHERE days >= 0 AND line_no <> 7""")
 def scaled_duration(spark, sf):
     df = s.detections(spark, sf).join(s.rates(spark, sf), "project", "left")
-    units = df.select("project", "order_no", "line_no", "part_no", nm.scaled_duration("days", "rate").alias("units"))
+    days = F.when(F.col("line_no") == 7, "n/a").otherwise(F.col("days").cast("string"))
+    rate = F.when(F.col("order_no") % 5 == 0, "unknown").otherwise(F.col("rate").cast("string"))
+    units = df.select("project", "order_no", "line_no", "part_no", nm.scaled_duration(days, rate).alias("units"))
     return units.filter("units IS NOT NULL")
 
 
 @query("h08_whole_days", """
-SELECT event_id, CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-10 12:00:00', ts) / 86400000000) AS BIGINT) AS days FROM events""")
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-10 12:00:00', ts) / 86400000000) AS BIGINT) END AS days FROM events""")
 def whole_days(spark, sf):
-    start = F.lit("2024-01-10 12:00:00").cast("timestamp")
-    return load(spark, sf, "events").select("event_id", nm.whole_days_between(start, "ts").alias("days"))
+    k, iso = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    end = F.when(k % 9 == 0, "n/a").when(k % 2 == 0, iso).otherwise(F.col("ts").cast("string"))
+    return load(spark, sf, "events").select("event_id", nm.whole_days_between(F.lit("2024-01-10T21:00:00+09:00"), end).alias("days"))
 
 
 @query("h09_parse_list", """

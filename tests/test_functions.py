@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from riskloom.functions import clean as c
+from riskloom.functions import numeric as nm
 from riskloom.functions import text as tx
 from riskloom.operators import patches as pt
 from riskloom.sources import readers as rd
@@ -22,6 +23,18 @@ def test_dates_of_several_formats(spark):
     ]
 
 
+def test_times_as_feeds_write_them(spark):
+    texts = ["2022-04-13T03:04:37.331327Z", "2024-01-01 10:00:00+09:00", "2024-01-01T10:00:00", "2024-01-01T10:00:00+0900", "2024-01-01 10:00", "2024-01-01T10:00:00.5-02", "n/a", "", "2024-01-01T25:00:00Z"]
+    want = [dt.datetime(2022, 4, 13, 3, 4, 37, 331327), dt.datetime(2024, 1, 1, 1), dt.datetime(2024, 1, 1, 10), dt.datetime(2024, 1, 1, 1), dt.datetime(2024, 1, 1, 10), dt.datetime(2024, 1, 1, 12, 0, 0, 500000), None, None, None]
+    assert values(spark, texts, c.lenient_timestamp("t")) == want
+    assert values(spark, texts, c.instant("t")) == want
+    assert values(spark, ["n/a", "2024-01-01T23:30:00-02:00"], c.utc_iso_text("t")) == [None, "2024-01-02T01:30:00+00:00"]
+    assert values(spark, ["n/a", "2024-01-01T23:30:00-02:00"], c.utc_day("t")) == [None, dt.date(2024, 1, 2)]
+    assert values(spark, ["n/a", "2.5", "nan", "-1"], nm.first_positive(["t", F.lit("x"), F.lit(7)])) == [7.0, 2.5, 7.0, 7.0]
+    assert values(spark, ["n/a", "2", "-1"], nm.scaled_duration("t", F.lit("?"))) == [None, 2.0, None]
+    assert values(spark, ["n/a", "2024-01-02T01:00:00+01:00"], nm.whole_days_between(F.lit("2024-01-01"), "t")) == [None, 1]
+
+
 def test_day_text_falls_back_to_the_leading_part(spark):
     texts = ["2024-02-03T04:05:06Z", "2024-02-03T01:00:00+05:00", "2024-02-03 or so", "2024-2-3", "02/03/2024", None]
     assert values(spark, texts, c.day_text("t")) == ["2024-02-03"] * 4 + ["", ""]

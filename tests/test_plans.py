@@ -52,49 +52,33 @@ def test_rates_round_half_even_and_timeline_adds_up(spark):
     assert [(r.rate, r.day_index, r.unit_start, r.cumulative_units) for r in got] == [(2, 1, 1, 2), (2, 2, 3, 4), (4, 1, 1, 4)]
 
 
-def replay(events, targets, rate, window):
-    """Event by event, the slow way."""
-    targets = sorted(targets)
-    had = bool(targets)
-    progress, history, last, done, out = 0.0, [], None, 0, []
-    for day, scheduled in events:
-        base = 0
-        if rate > 0 and last is not None:
-            for d in range(last + 1, day + 1):
-                progress += rate
-                if window:
-                    history.append(d)
-        expired = False
-        while window and history and history[0] < day - window:
-            history.pop(0)
-            progress = max(progress - rate, 0.0)
-            expired = True
-        while targets and progress + 1e-9 >= targets[0]:
-            targets.pop(0)
-            base += 1
-        threshold = targets[0] if targets else math.inf
-        consumed, extra, at_now, left = 0.0, 0, progress, scheduled
-        kind = "baseline_only" if had else "fp"
-        if targets:
-            while targets and left + at_now + 1e-9 >= targets[0]:
-                need = max(targets[0] - at_now, 0.0)
-                at_now = max(at_now, targets[0])
-                targets.pop(0)
-                if need <= 1e-9:
-                    base += 1
-                else:
-                    left -= min(need, left)
-                    consumed += need
-                    extra += 1
-            kind = "tp" if extra else ("expired" if expired and window else "fp")
-        done += base + extra
-        out.append((threshold, consumed, extra, base, kind, done if extra else None))
-        last = day
+def defined(events, targets, rate, window):
+    """What the closed rule says of each event, from all (target, event) pairs.
+
+    Capacity at an event is the rate times the days since the first event, of which at most
+    ``window + 1`` count; an event reaches its capacity plus its scheduled work, and a target
+    belongs to the first event that reaches it.
+    """
+    days = [d for d, _ in events]
+    held = [rate * min(d - days[0], window + 1 if window else d) for d in days]
+    reach = [h + scheduled for h, (_, scheduled) in zip(held, events)]
+    owner = {t: next((i for i, r in enumerate(reach) if r + 1e-9 >= t), None) for t in set(targets)}
+    by_work = {t: i is not None and held[i] + 1e-9 < t for t, i in owner.items()}  # else by capacity alone
+    extra = [sum(by_work[t] for t in owner if owner[t] == i) for i in range(len(events))]
+    base = [sum(1 for t in targets if owner[t] == i) - extra[i] for i in range(len(events))]
+    out = []
+    for i, day in enumerate(days):
+        above = max([held[i], *reach[:i]]) + 1e-9
+        threshold = min((t for t in targets if t > above), default=math.inf)
+        consumed = max((t - held[i] for t in owner if owner[t] == i and by_work[t]), default=0.0)
+        lost = any(days[i - 1] - window <= d < day - window for d in range(days[0] + 1, day + 1)) if i and window and rate > 0 else False
+        kind = "fp" if not targets else "baseline_only" if threshold == math.inf else "tp" if extra[i] else "expired" if lost else "fp"
+        out.append((threshold, consumed, extra[i], base[i], kind, sum(extra[: i + 1]) + sum(base[: i + 1]) if extra[i] else None))
     return out
 
 
 @pytest.mark.parametrize("window", [0, 1, 4])
-def test_attribution_equals_a_replay(spark, window):
+def test_attribution_equals_its_definition(spark, window):
     rng = random.Random(window)
     events, targets, rates, want = [], [], [], {}
     for n in range(150):
@@ -105,7 +89,7 @@ def test_attribution_equals_a_replay(spark, window):
         events += [("s", p, f"2024-01-{d + 1:02d}", i, a) for i, (d, a) in enumerate(plan)]
         targets += [(p, g) for g in goals]
         rates.append((p, rate))
-        want[p] = replay(plan, goals, rate, window)
+        want[p] = defined(plan, goals, rate, window)
     got = at.crossing_attribution(
         dated(spark, events, "strategy string, project string, day string, event_id int, scheduled double", "day"),
         spark.createDataFrame(targets, "project string, target double"),
