@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.scans import ordered_totals
 
 
-def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int | None = 64) -> DataFrame:
+def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int = 64) -> DataFrame:
     """Counts at and above each distinct score, highest first; ties are one point.
 
     Scores are grouped first, then added up bin by bin, so that neither a hot entity nor
@@ -26,7 +26,7 @@ def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (),
     return out.withColumn("fp", F.col("selected") - F.col("tp"))
 
 
-def precision_recall(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int | None = 64) -> DataFrame:
+def precision_recall(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int = 64) -> DataFrame:
     curve = score_curve(df, score, label, keys, bins)
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("positives")), F.lit(0.0))
     return curve.select(
@@ -34,7 +34,7 @@ def precision_recall(df: DataFrame, score: str, label: str, keys: Sequence[str]
     )
 
 
-def ranking_areas(df: DataFrame, score: str, label: str, keys: Sequence[str], bins: int | None = 64) -> DataFrame:
+def ranking_areas(df: DataFrame, score: str, label: str, keys: Sequence[str], bins: int = 64) -> DataFrame:
     """ROC area with tied ranks averaged, average precision, trapezoid PR area; null for one class."""
     c = score_curve(df, score, label, keys, bins)
     neg = F.col("n") - F.col("pos")

@@ -59,17 +59,13 @@ def bin_of(value: Column) -> Column:
 
 
 def ordered_totals(
-    table: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], bins: int | None = 64, descending: bool = False, label: str = "ordered"
+    table: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], bins: int = 64, descending: bool = False, label: str = "ordered"
 ) -> DataFrame:
     """Running sums per key in the order of ``value``, which is unique per key.
 
     Values are cut into bins of about equal size, so no task holds all values of a key.
-    With ``bins=None`` one does, which suits domains that are known to be small.
     """
     order = F.desc(value) if descending else F.asc(value)
-    if not bins:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return table.withColumns({n: F.sum(e).over(w) for n, e in sums.items()})
     table = settle(table, label)
     edges = equal_bins(table, keys, value, bins)
     cut = table.join(edges, list(keys)) if keys else table.crossJoin(F.broadcast(edges))  # edges: one row
@@ -79,7 +75,7 @@ def ordered_totals(
     return running_totals(cut, keys, "_bin", [order], sums).drop("_bin")
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = 64) -> DataFrame:
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, bins: int = 64) -> DataFrame:
     """Per key: each distinct value with its count ``n`` and the count ``cum`` up to it."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
     return ordered_totals(counts, keys, "value", {"cum": F.col("n")}, bins)
@@ -95,7 +91,7 @@ def _targets(counts: DataFrame, keys: Sequence[str], probs: Sequence[float], tot
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bins: int | None = 64
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bins: int = 64
 ) -> DataFrame:
     """Exact quantiles with linear interpolation for values of any domain, plus ``count``.
 
@@ -126,7 +122,7 @@ def exact_quantiles(
 
 
 def leave_one_out_quantiles(
-    df: DataFrame, entity: str, value: str, probs: Mapping[str, float], buckets: int = 1024, bins: int | None = 64, weight: str | None = None
+    df: DataFrame, entity: str, value: str, probs: Mapping[str, float], buckets: int = 1024, bins: int = 64, weight: str | None = None
 ) -> DataFrame:
     """For each entity, quantiles over the rows of all *other* entities, without pairing them.
 

@@ -47,8 +47,7 @@ def with_duration_statistics(days: DataFrame, units: DataFrame, mode: str) -> Da
         out = out.join(_named(per_project, "project", "project"), "project", "left")
         levels = ["fold", "project", "global"]
     else:
-        # whole days times a rate: few distinct values
-        others = scans.leave_one_out_quantiles(units, "project", "units", QUARTILES, bins=None, weight="n")
+        others = scans.leave_one_out_quantiles(units, "project", "units", QUARTILES, weight="n")
         known = _named(others, "others", "project")
         out = out.join(known, "project", "left")
         # a project without detections of its own is left out of nothing

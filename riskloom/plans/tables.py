@@ -31,7 +31,7 @@ def label_table(
     done: DataFrame | None = None,
     message: str | None = None,
     k: int = 10,
-    stop_words: Sequence[str] = (),
+    stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
     """Commits with their flag and term weights; commits already in ``done`` are carried over.
 

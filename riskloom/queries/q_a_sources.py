@@ -310,7 +310,7 @@ def refresh_labels(spark, sf):
     stored = spark.read.schema(old.schema).parquet(path)
     fresh = tf.relabel(stored, labels, "doc_id", "label", derived=r"^w\d+$")
     out = f"{path}-new"
-    tf.add_tfidf(fresh, "doc_id", "text", k=3, pattern=r"[a-z]{2,}").write.parquet(out)
+    tf.add_tfidf(fresh, "doc_id", "text", k=3, stop_words=(), pattern=r"[a-z]{2,}").write.parquet(out)
     got = spark.read.parquet(out)
     present = sum((F.col(f"w{i}") > 0).cast("bigint") for i in (1, 2, 3))
     return got.select("doc_id", "label", present.alias("top_words"))
