@@ -14,8 +14,7 @@ def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (),
     """Counts at and above each distinct score, highest first; ties are one point.
 
     Scores are grouped first, then added up bin by bin, so that neither a hot entity nor
-    the global curve passes through one task. ``bins=None`` suits scores with few distinct
-    values.
+    the global curve passes through one task.
     """
     points = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("n")

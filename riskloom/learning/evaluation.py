@@ -11,12 +11,12 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.learning import curves, sampling
 from riskloom.operators import aggregates as ag
-from riskloom.operators import windows as wn
+from riskloom.operators import scans
 from riskloom.operators.sets import union_all
 
 # Settings of the two tree models.
@@ -51,9 +51,13 @@ def importances(spark, model: PipelineModel, features: Sequence[str]) -> DataFra
 
 
 def fit_and_score(
-    train: DataFrame, test: DataFrame, kind: str, features: Sequence[str], seed: int, resample: str | None = None, **params: object
+    train: DataFrame, test: DataFrame, kind: str, features: Sequence[str], seed: int, resample: str | None = "under", **params: object
 ) -> tuple[DataFrame, PipelineModel | None]:
-    """Scored test rows and the model; ``kind`` random scores by the training rate."""
+    """Scored test rows and the model; ``kind`` random scores by the training rate.
+
+    The classes of the training rows are made equal by leaving out rows of the larger one,
+    by synthetic rows of the smaller one (``smote``), or not at all (None).
+    """
     if kind == "random":
         out = sampling.random_baseline(train, test, "label", ["project", "row_id"], seed)
         return out.withColumn("score", F.col("predicted").cast("double")).select(*SCORED), None
@@ -68,10 +72,19 @@ def fit_and_score(
 
 
 def time_folds(df: DataFrame, k: int, recent: bool, entity: str = "project") -> DataFrame:
-    """Sequential chunk per row; entities with fewer than 2k rows drop out."""
-    chunked = wn.sequential_chunks(df, entity, k, "_chunk")
-    enough = df.groupBy(entity).agg(F.count("*").alias("_n")).filter(F.col("_n") >= 2 * k).select(entity)
-    return chunked.join(enough, entity, "left_semi")
+    """Sequential chunk ``_chunk`` per row; entities with fewer than 2k rows drop out."""
+    return day_chunks(df, k, entity, least=2 * k)
+
+
+def day_chunks(df: DataFrame, k: int, entity: str = "project", least: int = 1) -> DataFrame:
+    """Consecutive chunks of ceil(n / k) rows by day, then by row id, numbered from 0.
+
+    Places come from running totals per day, so the rows of one entity never meet in a task.
+    """
+    placed = scans.running_totals(df, [entity], "day", ["day", "row_id"], {"_place": F.lit(1)})
+    sizes = df.groupBy(entity).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    chunk = F.floor((F.col("_place") - 1) / F.greatest(F.ceil(F.col("_n") / F.lit(k)), F.lit(1)))
+    return placed.join(sizes, entity).withColumn("_chunk", chunk).drop("_place", "_n")
 
 
 def time_series_validation(
@@ -119,17 +132,43 @@ def cross_entity_validation(
     if train is None:
         return None
     test = rows.filter(F.col("project") == target)
+    scored, model = fit_and_score(train, test, kind, features, seed, **params)
+    labels = test_folds(test, mode, k, seed).select("project", "row_id", "fold")
+    return scored.join(labels, ["project", "row_id"]), model
+
+
+def test_folds(rows: DataFrame, mode: str, k: int, seed: int) -> DataFrame:
+    """``fold`` of each row inside its project: one hold-out, stratified folds, or chunks by day."""
     if mode == "full":
-        folded = test.withColumn("_fold", F.lit("full"))
-    elif mode == "stratified":
-        folded = sampling.stratified_folds(test, "label", ["project", "row_id"], k, seed, name="_f").withColumn("_fold", F.concat(F.lit("fold-"), F.col("_f") + 1))
+        return rows.withColumn("fold", F.lit("full"))
+    if mode == "stratified":
+        dealt = sampling.stratified_folds(rows, "label", ["project", "row_id"], k, seed, by=["project"], name="_f")
     elif mode == "time":
-        folded = wn.sequential_chunks(test, "project", k, "_c").withColumn("_fold", F.concat(F.lit("fold-"), F.col("_c") + 1))
+        dealt = day_chunks(rows, k).withColumnRenamed("_chunk", "_f")
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    scored, model = fit_and_score(train, test, kind, features, seed, **params)
-    labels = folded.select("project", "row_id", F.col("_fold").alias("fold"))
-    return scored.join(labels, ["project", "row_id"]), model
+    return dealt.withColumn("fold", F.concat(F.lit("fold-"), F.col("_f") + 1)).drop("_f")
+
+
+def fold_sizes(rows: DataFrame, mode: str, k: int, seed: int) -> DataFrame:
+    """Per target and fold: sizes and positives of the test rows, of the training rows (all
+    other entities) and of the training rows after equalising; ``skipped`` marks one class."""
+    count = lambda n, p: [F.count("*").alias(n), F.sum("label").cast("bigint").alias(p)]
+    tests = test_folds(rows, mode, k, seed).groupBy("project", "fold").agg(*count("n_test", "pos_test"))
+    own = rows.groupBy("project").agg(*count("_n", "_p"))
+    out = ag.with_constants(tests.join(own, "project"), own.agg(F.sum("_n").alias("_all"), F.sum("_p").alias("_pos")))
+    out = out.withColumns({"n_train": F.col("_all") - F.col("_n"), "pos_train": F.col("_pos") - F.col("_p")})
+    least = F.least("pos_train", F.col("n_train") - F.col("pos_train"))
+    return out.withColumns({"n_equal": 2 * least, "skipped": least == 0}).drop("_n", "_p", "_all", "_pos")
+
+
+def walk_forward_sizes(rows: DataFrame, k: int, recent: bool = False) -> DataFrame:
+    """Per entity and fold of ``time_series_validation``: training and test sizes and positives."""
+    per = time_folds(rows, k, recent).groupBy("project", "_chunk").agg(F.count("*").alias("n_test"), F.sum("label").cast("bigint").alias("pos_test"))
+    order = Window.partitionBy("project").orderBy("_chunk").rowsBetween(-1 if recent else Window.unboundedPreceding, -1)
+    out = per.withColumns({"n_train": F.sum("n_test").over(order), "pos_train": F.sum("pos_test").over(order)}).filter("_chunk > 0")
+    one = (F.col("pos_train") == 0) | (F.col("pos_train") == F.col("n_train"))
+    return out.select("project", F.concat(F.lit("fold-"), "_chunk").alias("fold"), "n_train", "pos_train", "n_test", "pos_test", one.alias("skipped"))
 
 
 def repeated_scores(rows: DataFrame, targets: Sequence[str], kind: str, features: Sequence[str], repetitions: int, seed: int, **options: object) -> DataFrame:

@@ -15,7 +15,9 @@ from riskloom.queries.registry import query
 from riskloom.session import load, settle
 
 FEATURES = ["added", "deleted", "commit_count"]
-# Small trees keep the queries short; the shipped settings are the defaults of ``estimator``.
+# The queries fit few, shallow trees: see the README for what the shipped settings would take.
+# Everything else is whole: all entities, equalised classes, all rows. What does not depend on
+# the trees (folds, sizes, classes) has queries of its own with SQL.
 FOREST = {"numTrees": 5, "maxDepth": 4}
 BOOSTED = {"maxIter": 5, "maxDepth": 3}
 GROUPS = [f"g{i}" for i in range(5)]
@@ -70,8 +72,7 @@ def smote(spark, sf):
 
 def _holdout(spark, sf, kind, **params):
     rows = settle(learning_rows(spark, sf), "rows")
-    scored, _ = ev.cross_entity_validation(rows, "g0", kind, FEATURES, 1, **params)
-    return scored.select("project", "row_id", "label", "score", "predicted")
+    return ev.repeated_scores(rows, GROUPS, kind, FEATURES, 1, 1, **params).select("project", "row_id", "label", "score", "predicted")
 
 
 @query("k05_random_forest")
@@ -113,6 +114,19 @@ def time_series_validation(spark, sf):
     return ev.fold_metrics(scored, ["project", "fold"])
 
 
+_DAILY_SQL = "daily AS (SELECT project, day, min(row_id) AS row_id, max(label) AS label FROM rows GROUP BY ALL)"
+
+
+@query("k09_walk_forward_sizes", f"""WITH {ROWS_CTE}, {_DAILY_SQL},
+c AS (SELECT *, floor((row_number() OVER (PARTITION BY project ORDER BY day) - 1) / greatest(ceil(count(*) OVER (PARTITION BY project) / 3.0), 1)) AS chunk, count(*) OVER (PARTITION BY project) AS m FROM daily),
+b AS (SELECT project, chunk, count(*) AS n, sum(label) AS p FROM c WHERE m >= 6 GROUP BY ALL),
+f AS (SELECT t.project, t.chunk, t.n AS n_test, t.p AS pos_test, sum(e.n) AS n_train, sum(e.p) AS pos_train FROM b t JOIN b e ON e.project = t.project AND e.chunk < t.chunk GROUP BY ALL)
+SELECT project, 'fold-' || CAST(chunk AS INTEGER) AS fold, CAST(n_train AS BIGINT) AS n_train, CAST(pos_train AS BIGINT) AS pos_train, n_test, CAST(pos_test AS BIGINT) AS pos_test, pos_train = 0 OR pos_train = n_train AS skipped FROM f""")
+def walk_forward_sizes(spark, sf):
+    rows = learning_rows(spark, sf).groupBy("project", "day").agg(F.min("row_id").alias("row_id"), F.max("label").alias("label"))
+    return ev.walk_forward_sizes(settle(rows, "daily"), 3)
+
+
 @query("k10_stratified_folds", f"""WITH {ROWS_CTE}
 SELECT project, row_id, label, CAST((row_number() OVER (PARTITION BY project, label ORDER BY md5(project || '::' || row_id || '::5')) - 1) % 5 AS INTEGER) AS fold FROM rows""")
 def stratified_folds(spark, sf):
@@ -124,10 +138,28 @@ def stratified_folds(spark, sf):
 def cross_entity_validation(spark, sf):
     rows = settle(learning_rows(spark, sf), "rows")
     parts = []
-    for mode in ("full", "stratified"):
-        scored, _ = ev.cross_entity_validation(rows, "g1", "random_forest", FEATURES, 1, mode=mode, k=3, **FOREST)
-        parts.append(ev.fold_metrics(scored.withColumn("mode", F.lit(mode)), ["mode", "fold"]))
-    return parts[0].unionByName(parts[1])
+    for mode in MODES:
+        scored = ev.repeated_scores(rows, GROUPS, "random_forest", FEATURES, 1, 1, mode=mode, k=3, **FOREST)
+        parts.append(scored.withColumn("mode", F.lit(mode)))
+    return ev.fold_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["mode", "project", "fold"])
+
+
+MODES = ("full", "stratified", "time")
+_OWN = "own AS (SELECT project, count(*) AS n, sum(label) AS p FROM rows GROUP BY 1)"
+
+
+@query("k11_fold_sizes", f"""WITH {ROWS_CTE}, {_OWN},
+st AS (SELECT *, row_number() OVER (PARTITION BY project, label ORDER BY md5(project || '::' || row_id || '::1')) AS r, row_number() OVER (PARTITION BY project ORDER BY day, row_id) AS t, count(*) OVER (PARTITION BY project) AS m FROM rows),
+f AS (SELECT 'full' AS mode, project, 'full' AS fold, label FROM rows UNION ALL SELECT 'stratified', project, 'fold-' || ((r - 1) % 3 + 1), label FROM st
+  UNION ALL SELECT 'time', project, 'fold-' || CAST(floor((t - 1) / greatest(ceil(m / 3.0), 1)) + 1 AS INTEGER), label FROM st),
+z AS (SELECT mode, project, fold, count(*) AS n_test, CAST(sum(label) AS BIGINT) AS pos_test FROM f GROUP BY ALL),
+a AS (SELECT sum(n) AS n, sum(p) AS p FROM own)
+SELECT z.*, CAST(a.n - own.n AS BIGINT) AS n_train, CAST(a.p - own.p AS BIGINT) AS pos_train, CAST(2 * least(a.p - own.p, a.n - own.n - a.p + own.p) AS BIGINT) AS n_equal,
+  least(a.p - own.p, a.n - own.n - a.p + own.p) = 0 AS skipped FROM z JOIN own ON own.project = z.project, a""")
+def fold_sizes(spark, sf):
+    rows = settle(learning_rows(spark, sf), "rows")
+    parts = [ev.fold_sizes(rows, mode, 3, 1).withColumn("mode", F.lit(mode)) for mode in MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("k12_repeated_scores")
@@ -140,8 +172,8 @@ def repeated_scores(spark, sf):
 @query("k13_feature_set_experiments")
 def feature_set_experiments(spark, sf):
     rows = settle(learning_rows(spark, sf), "rows")
-    sets = {"exp1": ["added", "deleted"], "exp2": ["added", "deleted", "commit_count"]}
-    return ev.experiments(rows, GROUPS[:1], "random_forest", sets, 1, seed=1, **FOREST)
+    sets = {"added": ["added"], "deleted": ["deleted"], "counts": ["commit_count"], "lines": ["added", "deleted"], "all": FEATURES}
+    return ev.experiments(rows, GROUPS, "random_forest", sets, 1, seed=1, **FOREST)
 
 
 @query("k14_importances")
