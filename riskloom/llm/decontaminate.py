@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.texts import WORD_TABLE, as_bytes, only, slices
+from riskloom.llm.texts import WORD_TABLE, as_bytes, only, portions, slices
 
 WINDOW = 13
 SHINGLE = 5
@@ -125,7 +125,7 @@ def _count_places(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         totals = {size: np.zeros(len(keys), np.int64) for size, keys in own.keys.items()}
-        for batch in batches:
+        for batch in portions(batches):
             raw = as_bytes(batch.column("text"))
             for lo, hi in slices(raw):
                 numbers, _ = numbered(raw[lo:hi], own.vocabulary)
@@ -166,7 +166,7 @@ def _probe(index, with_digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in portions(batches):
             raw = as_bytes(batch.column("text"))
             n_words, spans, items = [], [], []
             for lo, hi in slices(raw):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import as_bytes, only
+from riskloom.llm.texts import as_bytes, only, portions
 from riskloom.llm.tokens import encoder, named_path
 from riskloom.session import settle
 
@@ -46,7 +46,7 @@ def _tokenise(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(named_path(tokenizer)).ids
-        for batch in batches:
+        for batch in portions(batches):
             doc_id = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
             for d, raw in zip(doc_id, as_bytes(batch.column("text"))):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.texts import only, slices
+from riskloom.llm.texts import only, portions, slices
 
 try:  # the parser of the standard library's expressions
     from re import _constants as _c
@@ -195,7 +195,7 @@ def _scan(rules: tuple[Rule, ...], redacted: str | None = None):
         compiled = [r.compiled() for r in rules]
         order = {r.kind: i for i, r in enumerate(rules)}
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in portions(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             spans: list[list] = [[] for _ in texts]
             for lo, hi in slices(texts, 4 << 20):
@@ -209,7 +209,7 @@ def _scan(rules: tuple[Rule, ...], redacted: str | None = None):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(listed, kinds)], names=["doc_id", "spans"])
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             at = batch.schema.get_field_index(redacted)
             named = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
             for found in run(iter([named])):

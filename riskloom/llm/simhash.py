@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.texts import as_bytes, only
+from riskloom.llm.texts import as_bytes, only, portions
 from riskloom.session import settle
 
 BITS = 64
@@ -52,7 +52,7 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         prints = np.array([fingerprint(x) for x in as_bytes(batch.column("text"))], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 

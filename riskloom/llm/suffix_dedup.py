@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.texts import as_bytes, only, slices
+from riskloom.llm.texts import as_bytes, only, portions, slices
 from riskloom.session import settle
 
 WINDOW = 50
@@ -82,7 +82,7 @@ def _announce(window: int, gram: int, parts: int):
     """One row per owner and block of documents; owners of several documents weigh more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 4096):
             raw = as_bytes(batch.column("text"))
             seen, held = [], []
             for lo, hi in slices(raw, BLOCK_BYTES):
@@ -149,7 +149,7 @@ def _send(shared, window: int, gram: int):
         import xxhash
 
         own = shared.value
-        for batch in batches:
+        for batch in portions(batches):
             raw = as_bytes(batch.column("text"))
             doc_id = np.array([_LAST if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
             for lo, hi in slices(raw, BLOCK_BYTES):
@@ -386,7 +386,7 @@ def _cut_out(keep_text: bool):
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             n_bytes, n_removed, n_spans, digests, kept_texts = [], [], [], [], []
             for raw, spans in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
                 merged: list[list[int]] = []
@@ -415,7 +415,7 @@ def _cut_out(keep_text: bool):
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    for batch in batches:
+    for batch in portions(batches):
         check = pa.array([xxhash.xxh32_intdigest(x) for x in as_bytes(batch.column("text"))], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), check, batch.column("text")], names=["doc_id", "check", "text"])
 

@@ -43,6 +43,14 @@ def slices(raw: Sequence[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int
         yield start, len(raw)
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so a worker holds copies of few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # workers live on and should not keep what tasks have used
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names, so other columns of the input can never clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import as_bytes, only
+from riskloom.llm.texts import as_bytes, only, portions
 from riskloom.llm.tokens import encoder, named_path
 from riskloom.session import settle
 
@@ -43,7 +43,7 @@ def _encode(tokenizer: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = count()
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([n(x) for x in as_bytes(batch.column("text"))], pa.int64())], names=["digest", "n_tokens"])
 
     return run

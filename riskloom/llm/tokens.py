@@ -16,7 +16,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-WORDS_KEPT = 700_000  # a task forgets all its words beyond this many
+WORDS_KEPT = 500_000  # a task forgets all its words beyond this many
 
 _LATIN = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"  # letters that lower-casing and composing leave alone
 _LATIN_ANY = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.texts import as_bytes, only
+from riskloom.llm.texts import as_bytes, only, portions
 
 SAMPLE_DOCS = 8_000  # documents a model is fitted on at most
 SAMPLE_BYTES = 24_000_000  # and bytes of their texts
@@ -189,7 +189,7 @@ def _scoring(model, text_col: str, carry: bool = False, threshold: float = 0.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         kind = pa.list_(pa.struct([("sentence", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in portions(batches):
             scored = [score_text(x, own) for x in as_bytes(batch.column(batch.schema.get_field_index(text_col)))]
             if carry:
                 yield batch.filter(pa.array([s < threshold for s, _ in scored], pa.bool_()))
