@@ -227,7 +227,7 @@ def simhash_components(prints):
 
 def test_simhash(spark, documents):
     for docs in (odd_documents(spark, ["One  TWO\tthree four", "one two three four"]), documents):
-        got = simhash.simhash_report(simhash.near_duplicates(docs, leaf=8))
+        got = simhash.simhash_report(simhash.near_duplicates(docs, leaf=50))
         want = simhash_components([(d, simhash_brute(t)) for d, t in pairs(docs)])
         assert rows(got, "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
     assert simhash.near_duplicates(no_documents(spark)).count() == 0
@@ -239,7 +239,7 @@ def test_trie_links_of_dense_groups_and_skewed_tries(spark):
     flips = [base ^ (np.uint64(1) << draw.integers(0, 12, 60).astype(np.uint64)) ^ (np.uint64(1) << draw.integers(0, 12, 60).astype(np.uint64)) for _ in range(20)]
     values = np.unique(np.concatenate([base, *flips, np.arange(300, dtype=np.uint64)]))
     frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    for leaf, leaves in ((4096, 4096), (16, 64), (4, 4096)):
+    for leaf, leaves in ((4096, 4096), (100, 64)):  # one leaf, and many of several depths
         links = simhash.links(frame, leaf=leaf, leaves=leaves)
         got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
         want = simhash_components([(int(v), int(v)) for v in values])
