@@ -75,7 +75,11 @@ def owners(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[
     many = -(-(stop - run) // MOST_WINDOWS)  # very long runs are cut
     part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     start, doc = np.repeat(run, many) + part * MOST_WINDOWS, np.repeat(doc, many)
-    return least[start], doc, start - first[doc], np.minimum(np.repeat(stop, many) - start, MOST_WINDOWS)
+    owner = least[start]  # least hashes crowd at the low end, so they are mixed once more
+    owner ^= owner >> np.uint64(32)
+    owner *= _MIX
+    owner ^= owner >> np.uint64(29)
+    return owner, doc, start - first[doc], np.minimum(np.repeat(stop, many) - start, MOST_WINDOWS)
 
 
 def _announce(window: int, gram: int, parts: int):
