@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,21 +78,13 @@ def quality_brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    again = {i for i, g in enumerate(grams) if grams.count(g) > 1} if len(grams) < 3000 else {i for i, g in enumerate(grams) if _counts(grams)[g] > 1}
+    count = Counter(grams)
+    again = {i for i, g in enumerate(grams) if count[g] > 1}
     covered = {i + k for i in again for k in range(3)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
-_memo = {}
-
-
-def _counts(grams):
-    from collections import Counter
-
-    return _memo.setdefault(id(grams), Counter(grams))
-
-
 def test_quality_rules(spark):
     same = "a shared line that all hold"
     texts = ["a b c a b c d", "x x x x x x", "# $ % a|b <c>\nk\nk\n k", *[same + "\n" + " ".join(f"w{i}x{k}" for k in range(60)) for i in range(40)], *[same + "\n" + " ".join(f"v{k}" for k in range(50))] * 3]
