@@ -2,13 +2,13 @@
 
 ``changes`` has one row per commit and file: project, commit_id, author, day, path and the
 columns a function names. History means earlier days, and earlier commits of the same day
-by commit id. Running counts are chunked by day, so neither a busy file nor a busy author
-meets in one task.
+by commit id. Running counts are chunked by day and range of commit ids, so neither a busy
+file nor a busy author meets in one task, not even on one day.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
@@ -80,7 +80,7 @@ def experience(changes: DataFrame) -> DataFrame:
 
 
 def _in_day_rank(commits: DataFrame, keys: list[str]) -> DataFrame:
-    return commits.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "day").orderBy("commit_id")))
+    return wn.running_totals(commits, [*keys, "day"], wn.order_range(commits, "commit_id"), ["commit_id"], {"_nth": F.lit(1)})
 
 
 def recent_experience(changes: DataFrame, days: int = 90) -> DataFrame:

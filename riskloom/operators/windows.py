@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from riskloom.operators.scans import running_totals
 
@@ -181,17 +182,25 @@ def previous_change_day(changes: DataFrame, keys: Sequence[str], order: Sequence
     """Day of the change before this one under the same key, over raw rows.
 
     A later change of the same day looks at that day; the first one of a day looks at the
-    key's previous day, which comes from the day-level table.
+    key's previous day. Both come from the day-level table, so the window never sees raw rows.
     """
-    in_day = Window.partitionBy(*keys, day).orderBy(*order)
-    days = changes.select(*keys, day).distinct()
+    at = F.struct(*[F.col(c) for c in order])
+    days = changes.groupBy(*keys, day).agg(F.min(at).alias("_first"))
     earlier = days.withColumn("_before", F.lag(day).over(by_day(keys, day)))
-    rows = changes.join(earlier, [*keys, day]).withColumn("_nth", F.row_number().over(in_day))
-    return rows.withColumn(name, F.when(F.col("_nth") > 1, F.col(day)).otherwise(F.col("_before"))).drop("_nth", "_before")
+    rows = changes.join(earlier, [*keys, day])
+    return rows.withColumn(name, F.when(at > F.col("_first"), F.col(day)).otherwise(F.col("_before"))).drop("_first", "_before")
+
+
+def order_range(df: DataFrame, column: str, width: int = 4096) -> Column:
+    """Ranges of an ordering column that never decrease along it: of numbers, or of first characters."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        return F.floor(F.col(column) / width)
+    return F.substring(F.col(column).cast("string"), 1, 2)
 
 
 def history_counts(
     changes: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], day: str = "day", include_current: bool = True
 ) -> DataFrame:
-    """Running sums per key over raw rows, chunked by day."""
-    return running_totals(changes, keys, day, [day, *order], sums, include_current)
+    """Running sums per key over raw rows, chunked by day and by ranges of the order in a day."""
+    chunk = F.struct(F.col(day).alias("day"), order_range(changes, order[0]).alias("part"))
+    return running_totals(changes, keys, chunk, [day, *order], sums, include_current)
