@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from riskloom.llm.texts import as_bytes, only, portions
 
 SAMPLE_DOCS = 8_000  # documents a model is fitted on at most
-SAMPLE_BYTES = 24_000_000  # and bytes of their texts
+SAMPLE_BYTES = 16_000_000  # and bytes of their texts
 THRESHOLD = 0.3
 OFFENDING = 0.5
 _STOPS = b".!?\n"
@@ -75,13 +75,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def screened(bags: list[list[list[bytes]]], y: np.ndarray, least_docs: int, lift: float) -> dict[bytes, int]:
-    """Features that at least ``least_docs`` toxic documents hold, ``lift`` times as often as others."""
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, y):
-        (toxic if label else clean).update({f for w in {w for s in bag for w in s} for f in features(w)})
-    n1, n0 = y.sum() + 1, len(y) - y.sum() + 1
-    return {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n >= least_docs and (n + 0.5) / n1 >= lift * (clean[f] + 0.5) / n0))}
+def screened(rows: list[tuple[bytes, int]], least_docs: int, lift: float) -> dict[bytes, int]:
+    """Features that at least ``least_docs`` toxic documents hold, ``lift`` times as often as others.
+
+    Only what toxic documents hold is counted in the others, so memory follows the former.
+    """
+    def held(text: bytes) -> set[bytes]:
+        return {f for w in set(text.translate(SENTENCE_TABLE).split()) for f in features(w)}
+
+    toxic = Counter(f for text, label in rows if label for f in held(text))
+    often = {f for f, n in toxic.items() if n >= least_docs}
+    clean = Counter(f for text, label in rows if not label for f in held(text) & often)
+    n1 = sum(label for _, label in rows)
+    bar = lift * (n1 + 1) / (len(rows) - n1 + 1)
+    return {f: i for i, f in enumerate(sorted(f for f in often if toxic[f] + 0.5 >= bar * (clean[f] + 0.5)))}
 
 
 def fit(rows: list[tuple[bytes, int]], least_docs: int = 4, lift: float = 3.0, steps: int = 300, rate: float = 0.1, sparsity: float = 2e-4) -> Model:
@@ -94,12 +101,12 @@ def fit(rows: list[tuple[bytes, int]], least_docs: int = 4, lift: float = 3.0, s
     y = np.array([label for _, label in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0)
-    bags = [sentences(text) for text, _ in rows]
-    vocabulary = screened(bags, y, least_docs, lift)
+    vocabulary = screened(rows, least_docs, lift)
+    heads = {f[:4].rstrip(b" ") for f in vocabulary}
     column, row, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            found = {vocabulary[f] for w in s for f in features(w) if f in vocabulary}
+    for d, (text, _) in enumerate(rows):
+        for s in sentences(text):
+            found = {vocabulary[f] for w in s if w[:4] in heads for f in features(w) if f in vocabulary}
             if found:
                 column += found
                 row += [len(doc)] * len(found)
