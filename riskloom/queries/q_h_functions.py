@@ -175,7 +175,9 @@ def flatten_advisory(spark, sf):
 @query("h11_flatten_coverage", """
 SELECT l_orderkey AS id,
   CAST(count(*) AS BIGINT) AS lines_count, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS lines_covered,
-  CAST(0 AS DOUBLE) AS lines_percent, CAST(max(l_linenumber) AS BIGINT) AS branches_count, 0::BIGINT AS branches_notcovered, 0::BIGINT AS regions_covered
+  0::DOUBLE AS lines_percent, CAST(max(l_linenumber) AS BIGINT) AS branches_count, 0::BIGINT AS branches_covered, 0::BIGINT AS branches_notcovered, 0::DOUBLE AS branches_percent,
+  0::BIGINT AS functions_count, 0::BIGINT AS functions_covered, CAST(max(l_linenumber) * 0.5 AS DOUBLE) AS functions_percent, CAST(min(l_linenumber) AS BIGINT) AS instantiations_count,
+  0::BIGINT AS instantiations_covered, 0::DOUBLE AS instantiations_percent, 0::BIGINT AS regions_count, CAST(max(l_partkey) AS BIGINT) AS regions_covered, CAST(min(l_partkey) AS BIGINT) AS regions_notcovered, 0::DOUBLE AS regions_percent
 FROM lineitem GROUP BY 1""")
 def flatten_coverage(spark, sf):
     rows = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
@@ -184,12 +186,13 @@ def flatten_coverage(spark, sf):
                 F.count("*").alias("count"), F.count_if(F.col("l_returnflag") == "R").alias("covered"), F.lit(None).cast("double").alias("percent")
             ).alias("lines"),
             F.struct(F.max("l_linenumber").cast("bigint").alias("count")).alias("branches"),
+            F.struct((F.max("l_linenumber") * 0.5).alias("percent")).alias("functions"),
+            F.struct(F.min("l_linenumber").cast("bigint").alias("count")).alias("instantiations"),
+            F.struct(F.max("l_partkey").alias("covered"), F.min("l_partkey").alias("notcovered")).alias("regions"),
         ).alias("summary")
     )
     summary = F.from_json(F.to_json("summary"), rec.COVERAGE_SUMMARY)
-    return rows.select("id", summary.alias("summary")).select("id", *rec.coverage_columns("summary")).select(
-        "id", "lines_count", "lines_covered", "lines_percent", "branches_count", "branches_notcovered", "regions_covered"
-    )
+    return rows.select("id", summary.alias("summary")).select("id", *rec.coverage_columns("summary"))
 
 
 @query("h12_churn_weight", """

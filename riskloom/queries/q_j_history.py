@@ -115,6 +115,13 @@ def earlier_revisions(spark, sf):
     return hs.earlier_revisions(_files(spark, sf))
 
 
+@query("j16_revisions_before_probes", f"""WITH {CF}, r AS (SELECT project, path, commit_id, row_number() OVER (PARTITION BY project, path ORDER BY day, commit_id) AS position FROM commit_files)
+SELECT p.project, p.path, p.commit_id AS probe_commit, r.position, r.commit_id FROM r p JOIN r ON r.project = p.project AND r.path = p.path AND r.position < p.position WHERE p.commit_id % 5 = 0""")
+def revisions_before_probes(spark, sf):
+    files = _files(spark, sf)
+    return hs.earlier_revisions(files, files.filter("commit_id % 5 = 0").select("project", "path", "commit_id"))
+
+
 @query("j17_commit_window", f"""WITH {s.COMMITS_CTE} SELECT commit_id, CAST(day AS VARCHAR) AS day FROM commits WHERE day BETWEEN DATE '1996-06-01' AND DATE '1998-06-30' ORDER BY day, commit_id""")
 def commit_window(spark, sf):
     start, end = (F.lit(d).cast("date") for d in ("1996-06-01", "1998-06-30"))

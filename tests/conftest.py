@@ -1,5 +1,6 @@
 import pytest
 
+from riskloom.session import release
 from tests.oracle import oracle_session
 
 
@@ -8,4 +9,5 @@ def spark():
     session = oracle_session()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
