@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.learning import curves, sampling
 from riskloom.operators import aggregates as ag
-from riskloom.operators import scans
+from riskloom.operators import windows as wn
 from riskloom.operators.sets import union_all
 
 # Settings of the two tree models.
@@ -79,9 +79,10 @@ def time_folds(df: DataFrame, k: int, recent: bool, entity: str = "project") ->
 def day_chunks(df: DataFrame, k: int, entity: str = "project", least: int = 1) -> DataFrame:
     """Consecutive chunks of ceil(n / k) rows by day, then by row id, numbered from 0.
 
-    Places come from running totals per day, so the rows of one entity never meet in a task.
+    Places come from running totals per day and range of ids, so the rows of one entity never
+    meet in a task.
     """
-    placed = scans.running_totals(df, [entity], "day", ["day", "row_id"], {"_place": F.lit(1)})
+    placed = wn.history_counts(df, [entity], ["row_id"], {"_place": F.lit(1)})
     sizes = df.groupBy(entity).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     chunk = F.floor((F.col("_place") - 1) / F.greatest(F.ceil(F.col("_n") / F.lit(k)), F.lit(1)))
     return placed.join(sizes, entity).withColumn("_chunk", chunk).drop("_place", "_n")

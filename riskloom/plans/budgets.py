@@ -133,9 +133,13 @@ def regression_budget(
     evaluation: str = "leave_one_out",
     test_fraction: float = 0.2,
     seed: int = 42,
+    digits: int | None = None,
 ) -> DataFrame:
     """Predicted work for flagged days of the folds: least squares, clipped at 0, rounded up.
 
+    ``digits`` rounds the prediction before it is rounded up, so the noise of a fit cannot add
+    a unit to a whole number; by default it is taken as it is.
+
     ``leave_one_out`` fits each project on all others; ``random_split`` fits on a seeded
     share of the projects.
     """
@@ -152,8 +156,7 @@ def regression_budget(
     return scored.withColumns(
         {
             "was_clipped": (F.col("raw") < 0).cast("int"),
-            # rounding noise of the fit must not add a unit to a whole number
-            "scheduled": F.ceil(F.round(clipped, 6)).cast("bigint"),
+            "scheduled": F.ceil(clipped if digits is None else F.round(clipped, digits)).cast("bigint"),
             "strategy": F.lit("regression"),
         }
     )

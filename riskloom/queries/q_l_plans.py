@@ -229,13 +229,13 @@ ds AS (SELECT l.project, l.day, l.fold, l.rate, coalesce(l.churn, 0) AS churn, C
 @query("l09_regression_budget_simple", f"""WITH {_DATASET}, fit AS (SELECT p.project, regr_slope(observed, churn) AS b, regr_intercept(observed, churn) AS a FROM (SELECT DISTINCT project FROM ds) p JOIN ds ON ds.project <> p.project GROUP BY 1)
 SELECT ds.project, CAST(day AS VARCHAR) AS day, observed, round(a + b * churn, 4) AS raw, CAST(ceil(round(greatest(a + b * churn, 0), 6)) AS BIGINT) AS scheduled FROM ds JOIN fit ON ds.project = fit.project""")
 def regression_budget_simple(spark, sf):
-    out = bd.regression_budget(settle(labelled(spark, sf), "labelled"), s.detections(spark, sf), ["churn"])
+    out = bd.regression_budget(settle(labelled(spark, sf), "labelled"), s.detections(spark, sf), ["churn"], digits=6)
     return out.select("project", F.col("day").cast("string").alias("day"), "observed", F.round("raw", 4).alias("raw"), "scheduled")
 
 
 @query("l09_regression_budget_multi")
 def regression_budget_multi(spark, sf):
-    out = bd.regression_budget(settle(labelled(spark, sf), "labelled"), s.detections(spark, sf), ["churn", "rate", "day_index"], evaluation="random_split")
+    out = bd.regression_budget(settle(labelled(spark, sf), "labelled"), s.detections(spark, sf), ["churn", "rate", "day_index"], evaluation="random_split", digits=6)
     return out.select("project", F.col("day").cast("string").alias("day"), "observed", F.round("raw", 4).alias("raw"), "scheduled")
 
 
