@@ -174,11 +174,16 @@ def leave_one_out_caps(totals: DataFrame, entity: str = "project", total: str =
 
 
 # Named strategies; aliases point at the canonical name.
+def _regression_by_rates(labelled: DataFrame, detections: DataFrame, rates: DataFrame, features: Sequence[str] = ("churn",), **options) -> DataFrame:
+    """``regression_budget`` with the tables of the other strategies; the labelled days carry their rate."""
+    return regression_budget(labelled, detections, features, **options)
+
+
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "churn": churn_budget,
     "iqr": iqr_budget,
     "median": median_budget,
-    "regression": regression_budget,
+    "regression": _regression_by_rates,
 }
 ALIASES = {"strategy1": "median", "strategy2": "iqr", "strategy3": "churn", "strategy4": "regression"}
 
@@ -187,10 +192,10 @@ def strategy_names() -> list[str]:
     return sorted(STRATEGIES)
 
 
-def run_strategy(name: str, *tables: DataFrame, **options) -> DataFrame:
-    """Run a strategy by its name or an alias, ignoring case."""
+def run_strategy(name: str, labelled: DataFrame, detections: DataFrame, rates: DataFrame, **options) -> DataFrame:
+    """Run a strategy by its name or an alias, ignoring case; all take the same three tables."""
     key = name.strip().lower()
     key = ALIASES.get(key, key)
     if key not in STRATEGIES:
         raise KeyError(f"unknown strategy {name!r}; known: {', '.join(strategy_names())}")
-    return STRATEGIES[key](*tables, **options)
+    return STRATEGIES[key](labelled, detections, rates, **options)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import text as tx
 from riskloom.learning import curves
 from riskloom.operators import aggregates as ag
+from riskloom.operators import sets as st
 from riskloom.operators import windows as wn
 from riskloom.plans import attribution as at
 from riskloom.plans import budgets as bd
@@ -148,9 +149,12 @@ def iqr_budget(spark, sf):
     return out.withColumn("sampled", F.round("sampled", 6))
 
 
-@query("l07_churn_budget", f"""WITH {STATS_CTE},
+_CHURN_CTE = f"""{STATS_CTE},
 past AS (SELECT project, day, quantile_cont(CASE WHEN is_flagged THEN coalesce(churn, 0) END, 0.5) OVER (PARTITION BY project ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM labelled),
-e AS (SELECT st.*, base, med * CASE WHEN base > 0 THEN least(ln(1 + coalesce(churn, 0)) / ln(1 + base), 3.0) ELSE 1 END AS expected FROM st JOIN past ON past.project = st.project AND past.day = st.day)
+e AS (SELECT st.*, base, med * CASE WHEN base > 0 THEN least(ln(1 + coalesce(churn, 0)) / ln(1 + base), 3.0) ELSE 1 END AS expected FROM st JOIN past ON past.project = st.project AND past.day = st.day)"""
+
+
+@query("l07_churn_budget", f"""WITH {_CHURN_CTE}
 SELECT mode, project, CAST(day AS VARCHAR) AS day, base AS past_churn, round(expected, 6) AS expected, CAST(ceil(expected - 1e-9) AS BIGINT) AS scheduled, CAST(NOT coalesce(base > 0, false) AS INTEGER) AS no_past
 FROM e WHERE med > 0 AND ceil(expected - 1e-9) > 0""")
 def churn_budget(spark, sf):
@@ -443,11 +447,17 @@ def advisory_summary(spark, sf):
     return tbl.advisory_summary(metadata, advisories).select("project", "vulnerability_count")
 
 
-@query("n01_named_strategies", f"""WITH {STATS_CTE}
+_DS_CTE = _DATASET[len(LABELLED_CTE) :]  # what it adds to the labelled days
+
+
+@query("n01_named_strategies", f"""WITH {_CHURN_CTE}{_DS_CTE.replace(f", {s.DETECTIONS_CTE}", "") if s.DETECTIONS_CTE in _CHURN_CTE else _DS_CTE},
+fit AS (SELECT p.project, regr_slope(observed, ds.churn) AS b, regr_intercept(observed, ds.churn) AS a FROM (SELECT DISTINCT project FROM ds) p JOIN ds ON ds.project <> p.project GROUP BY 1)
 SELECT 'median' AS strategy, count(*) AS rows, CAST(sum(ceil(med)) AS BIGINT) AS scheduled FROM st WHERE mode = 'per_project' AND fold IS NOT NULL AND rate > 0 AND ceil(med) > 0
-UNION ALL SELECT 'iqr', count(*), CAST(sum(ceil(v)) AS BIGINT) FROM (SELECT q1 + CAST(('0x' || substr(md5(project || '::' || fold || '::' || day_index || '::42'), 1, 8)) AS BIGINT) / 4294967296.0 * (q3 - q1) AS v FROM st WHERE mode = 'per_project' AND fold IS NOT NULL) WHERE ceil(v) > 0""")
+UNION ALL SELECT 'iqr', count(*), CAST(sum(ceil(v)) AS BIGINT) FROM (SELECT q1 + CAST(('0x' || substr(md5(project || '::' || fold || '::' || day_index || '::42'), 1, 8)) AS BIGINT) / 4294967296.0 * (q3 - q1) AS v FROM st WHERE mode = 'per_project' AND fold IS NOT NULL) WHERE ceil(v) > 0
+UNION ALL SELECT 'churn', count(*), CAST(sum(ceil(expected - 1e-9)) AS BIGINT) FROM e WHERE mode = 'per_project' AND med > 0 AND ceil(expected - 1e-9) > 0
+UNION ALL SELECT 'regression', count(*), CAST(sum(ceil(round(greatest(a + b * ds.churn, 0), 6))) AS BIGINT) FROM ds JOIN fit ON ds.project = fit.project""")
 def named_strategies(spark, sf):
     tables = [settle(labelled(spark, sf), "labelled"), settle(s.detections(spark, sf), "detections"), s.rates(spark, sf)]
-    parts = [bd.run_strategy(name, *tables).select("strategy", "project", "day", "scheduled") for name in ("Strategy1", "iqr")]
-    both = parts[0].unionByName(parts[1])
-    return ag.schedule_summary(both, "scheduled", keys=["strategy"]).select("strategy", "rows", "scheduled")
+    options = {"Strategy1": {}, "iqr": {}, "STRATEGY3": {"cap": 3.0}, "regression": {"digits": 6}}
+    parts = [bd.run_strategy(name, *tables, **o).select("strategy", "project", "day", "scheduled") for name, o in options.items()]
+    return ag.schedule_summary(st.union_all(parts), "scheduled", keys=["strategy"]).select("strategy", "rows", "scheduled")

@@ -144,7 +144,7 @@ def test_strategy_names_and_aliases():
     assert bd.strategy_names() == sorted(bd.STRATEGIES)
     assert set(bd.ALIASES.values()) == set(bd.STRATEGIES)
     with pytest.raises(KeyError):
-        bd.run_strategy("unheard of")
+        bd.run_strategy("unheard of", None, None, None)
 
 
 def test_regression_equals_lstsq_and_survives_constant_columns(spark):
