@@ -58,7 +58,7 @@ def base_places(fenced_text: Column, n_words: Column, phrases: Mapping[str, str]
         here = F.contains(fenced_text, needle)
         gone = F.length(fenced_text) - F.length(F.replace(fenced_text, needle, F.lit("")))
         counts.append(F.when(here, (gone / len(fenced(phrase))).cast("long")).otherwise(F.lit(0).cast("long")))
-        before = F.concat(F.substring_index(fenced_text, fenced(phrase), 1))
+        before = F.substring_index(fenced_text, fenced(phrase), 1)
         after = F.substring_index(fenced_text, fenced(phrase), -1)
         blanks = lambda part: F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))
         firsts.append(F.when(here, (blanks(before) / 2).cast("long")))
@@ -105,10 +105,10 @@ def scan_licenses(
     n_base, first, last, labels = base_places(F.col("_words"), F.col("n_words"), phrases)
     # Which template words a document holds serves the global order and the prefix filter.
     held = F.array_compact(F.array(*[F.when(F.contains("_words", F.lit(f" {w} ")), F.lit(i)) for i, w in enumerate(universe)]))
-    rarely = needed_words(sets, containment)
+    fewest = min((needed(len(words), containment) for _, _, words in sets), default=1)
     scanned = spread.select(
         "_row", "doc_id", "n_words", n_base.alias("n_base"), first.alias("first_word"), last.alias("last_word"), labels.alias("base"), held.alias("held"),
-        F.when(F.size(held) >= min(rarely, default=1), F.col("text")).alias("text"))
+        F.when(F.size(held) >= fewest, F.col("text")).alias("text"))
     scanned = settle(scanned, "license-scan")
     counted = {r["w"]: r["n"] for r in scanned.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # template words only
     order = sorted(range(len(universe)), key=lambda i: (counted.get(i, 0), universe[i]))
@@ -146,7 +146,3 @@ def scan_licenses(
     return scanned.drop("text", "held").join(found, "_row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
-
-
-def needed_words(sets: Sequence[tuple[int, str, Sequence[str]]], containment: float) -> list[int]:
-    return [needed(len(words), containment) for _, _, words in sets]

@@ -20,7 +20,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.llm.texts import as_bytes, only, portions
 from riskloom.session import settle

@@ -186,4 +186,3 @@ def named_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-EncodeFn = Callable[[bytes], bytes]
