@@ -52,7 +52,7 @@ def test_exact_quantiles(skewed, bins):
     assert one.m == pytest.approx(np.median([x[3] for x in rows]))
 
 
-@pytest.mark.parametrize("bins", [None, 16])
+@pytest.mark.parametrize("bins", [2, 16])
 def test_leave_one_out_quantiles(skewed, bins):
     rows, df = skewed
     probs = {"q1": 0.25, "m": 0.5, "q3": 0.75, "z": 1.0}
