@@ -46,7 +46,7 @@ def _tokenise(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(named_path(tokenizer)).ids
-        for batch in portions(batches):
+        for batch in portions(batches, keep_words=True):
             doc_id = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
             for d, raw in zip(doc_id, as_bytes(batch.column("text"))):

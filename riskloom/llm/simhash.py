@@ -160,15 +160,15 @@ def trie_links(left: np.ndarray, right: np.ndarray, errors: int = ERRORS, keep:
     return spanning_links(a, b) if len(a) else (a, b)
 
 
-def _search(errors: int):
+def _search(errors: int, back: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
             for i in range(batch.num_rows):
                 left = np.frombuffer(batch.column("left")[i].as_py(), np.uint64)
                 right = left if u[i] == v[i] else np.frombuffer(batch.column("right")[i].as_py(), np.uint64)
-                a, b = trie_links(left, right, errors)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                found = [reordered(x, back).view(np.int64) for x in trie_links(left, right, errors)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
     return run
 
@@ -265,14 +265,7 @@ def links(prints: DataFrame, errors: int = ERRORS, leaf: int = LEAF, leaves: int
         .select("u", "v", "left", F.when(F.col("u") != F.col("v"), F.col("right")).alias("right"))
     )
     tasks = max(1, min(len(paths) * 4, 8192))
-    found = work.repartition(tasks, F.xxhash64("u", "v")).mapInArrow(_search(errors), "a long, b long")
-    back = np.argsort(order)
-
-    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(reordered(batch.column(c).to_numpy().view(np.uint64), back).view(np.int64)) for c in ("a", "b")], names=["a", "b"])
-
-    return found.mapInArrow(restore, "a long, b long")
+    return work.repartition(tasks, F.xxhash64("u", "v")).mapInArrow(_search(errors, np.argsort(order)), "a long, b long")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

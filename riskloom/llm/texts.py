@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.tokens import encoder
+
 
 def _word_table() -> bytes:
     """A-Z to lower case, every other ASCII character that is no letter or digit to a blank."""
@@ -43,8 +45,13 @@ def slices(raw: Sequence[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int
         yield start, len(raw)
 
 
-def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so a worker holds copies of few texts at a time."""
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512, keep_words: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so a worker holds copies of few texts at a time.
+
+    Workers live on from job to job: only tasks that encode keep the words an encoder knows.
+    """
+    if not keep_words:
+        encoder.cache_clear()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

@@ -43,7 +43,7 @@ def _encode(tokenizer: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = count()
-        for batch in portions(batches):
+        for batch in portions(batches, keep_words=True):
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([n(x) for x in as_bytes(batch.column("text"))], pa.int64())], names=["digest", "n_tokens"])
 
     return run
