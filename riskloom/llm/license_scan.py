@@ -1,7 +1,8 @@
 """License scans as an exact set-similarity join of text blocks and license templates.
 
-Blocks are sentences; one of more than ``BLOCK_WORDS`` words is cut into overlapping windows, so
-each template lies whole in some block. A block matches a template if it holds at least
+Blocks are sentences, over all their lines: a text is cut at sentence ends and blank lines only, as
+notices are wrapped. A sentence of more than ``BLOCK_WORDS`` words is cut into overlapping windows,
+so a notice inside a sentence lies whole in some block. A block matches a template if it holds at least
 ``CONTAINMENT`` of the template's distinct words. Words of the templates are ordered by the
 number of documents that hold them, rarest first. A block that matches holds at least one word
 of the template's prefix (prefix filter), is long enough (length filter), and what is left
@@ -76,7 +77,7 @@ def blocks(text: Column, most: int = BLOCK_WORDS) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.lit(most // 2), F.lit(1)), F.lit(most // 2))
         return F.transform(starts, lambda s: F.slice(words, s, most))
 
-    sentences = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[.!?][ \n]|\n")
+    sentences = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[.!?][ \r\n]|\n[\t\x0B-\r ]*\n")
     words = F.transform(sentences, lambda s: F.split(F.btrim(F.regexp_replace(s, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" ")), " "))
     return F.flatten(F.transform(F.filter(words, lambda w: w[0] != ""), cut))
 

@@ -71,6 +71,21 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(no_documents(spark)).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    """Line ends of all kinds and comment marks; a blank line and a sentence end still part."""
+    texts = [f(t) for t in WRAPPED.values() for f in (str, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n * " + t.replace("\n", "\n * "), lambda t: f"Title\nCopyright (c) 2020 Someone\n\n{t}\n")]
+    texts += [WRAPPED["isc"].replace("\n", gap) for gap in ("\n\n", "\r\n \r\n", ".\n", ".\r\n")]
+    got = {r["doc_id"]: (r["labels"], r["score"] > 0) for r in license_scan.scan_licenses(odd_documents(spark, texts)).collect()}
+    assert [got[100 + i] for i in range(len(texts))] == [(label, True) for label in WRAPPED for _ in range(4)] + [("", False)] * 4
+
+
 # quality rules
 
 
