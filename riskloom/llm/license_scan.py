@@ -82,6 +82,33 @@ def blocks(text: Column, most: int = BLOCK_WORDS) -> Column:
     return F.flatten(F.transform(F.filter(words, lambda w: w[0] != ""), cut))
 
 
+_MET = "array<struct<template: int, label: string, own: array<int>, mine: array<int>>>"
+
+
+def named(met: Column, containment: float = CONTAINMENT) -> Column:
+    """Labels and scores of the templates that a block names, of all that it matches.
+
+    The templates that share the most words with the block come first, of these the shortest, ties
+    all. Then, again and again, those that share the most words no named template holds, as long as
+    ``containment`` of their words that no named template holds stand in the block.
+    """
+    def step(state: Column, _: Column) -> Column:
+        known = state["known"]
+        left = F.transform(state["rest"], lambda t: F.struct(
+            F.size(F.array_except(t["mine"], known)).alias("new"), (-F.size(t["own"])).alias("short"), F.size(F.array_except(t["own"], known)).alias("of"), t.alias("t")))
+        able = F.filter(left, lambda t: (t["new"] > 0) & (t["new"] >= F.ceil(F.round(F.lit(containment) * t["of"], 9))))
+        best = F.array_max(F.transform(able, lambda t: F.struct(t["new"].alias("new"), t["short"].alias("short"))))
+        won = F.transform(F.filter(able, lambda t: F.struct(t["new"].alias("new"), t["short"].alias("short")) == best), lambda t: t["t"])
+        after = F.struct(
+            F.array_union(known, F.flatten(F.transform(won, lambda t: t["own"]))).alias("known"),
+            F.array_except(state["rest"], won).alias("rest"),
+            F.concat(state["kept"], F.transform(won, lambda t: F.struct(t["label"].alias("label"), (F.size(t["mine"]) / F.size(t["own"])).alias("score")))).alias("kept"))
+        return F.when(F.size(able) > 0, after).otherwise(F.struct(known.alias("known"), F.array().cast(_MET).alias("rest"), state["kept"].alias("kept")))
+
+    start = F.struct(F.array().cast("array<int>").alias("known"), met.cast(_MET).alias("rest"), F.array().cast("array<struct<label: string, score: double>>").alias("kept"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(met)), start, step)["kept"]
+
+
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Mapping[str, str] = PHRASES,
     templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, block_words: int = BLOCK_WORDS,
@@ -89,11 +116,10 @@ def scan_licenses(
     """One row per row of ``docs``: ``doc_id``, ``n_words``, ``n_base``, ``first_word``,
     ``last_word``, ``base_labels``, ``labels`` and ``score``.
 
-    ``labels`` joins the base labels and those of matched templates; of one block only the
-    templates with the most words in it count, of these the shortest, ties all. ``score`` is 1 with a base label, else
-    the largest containment of a match, else 0. Null and empty texts have no words, no labels
-    and null places. Repeated rows each get their own row; other columns are not read. A
-    template must fit into half a block; an empty template matches nothing.
+    ``labels`` joins the base labels and those of matched templates, of one block those that
+    ``named`` keeps. ``score`` is 1 with a base label, else the largest containment
+    of a kept match, else 0. Null and empty texts have no words, no labels and null places.
+    Repeated rows each get their own row; other columns are not read. A template must fit into half a block; an empty template matches nothing.
     """
     spark = docs.sparkSession
     sets = [(i, label, sorted(set(words.split()))) for i, (label, words) in enumerate(templates) if words.split()]
@@ -137,11 +163,9 @@ def scan_licenses(
         # A match shares at least one prefix word; the first shared one leaves the most room behind it.
         passed = probes.join(index, "token").filter(room >= F.col("least")).select("_row", "block", "ranks", "template").distinct()
         full = spark.createDataFrame(whole, "template int, label string, own array<int>, n int, least int")
-        verified = passed.join(full, "template").withColumn("shared", F.size(F.array_intersect("ranks", "own"))).filter("shared >= least")
-        # of the templates that share the most words with a block, the shortest
-        best = verified.groupBy("_row", "block").agg(F.max(F.struct("shared", (-F.col("n")).alias("short"))).alias("top"))
-        top = verified.join(best, ["_row", "block"]).filter("shared = top.shared and -n = top.short")
-        matched = top.select("_row", "label", (F.col("shared") / F.col("n")).alias("score"))
+        verified = passed.join(full, "template").withColumn("mine", F.array_intersect("ranks", "own")).filter(F.size("mine") >= F.col("least"))
+        met = verified.groupBy("_row", "block").agg(F.collect_list(F.struct("template", "label", "own", "mine")).alias("met"))  # as many as there are templates at most
+        matched = met.select("_row", F.explode(named(F.col("met"), containment)).alias("kept")).select("_row", "kept.label", "kept.score")
     found = matched.groupBy("_row").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return scanned.drop("text", "held").join(found, "_row", "left").select(

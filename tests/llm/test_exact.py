@@ -86,6 +86,26 @@ def test_license_scan_of_wrapped_notices(spark):
     assert [got[100 + i] for i in range(len(texts))] == [(label, True) for label in WRAPPED for _ in range(4)] + [("", False)] * 4
 
 
+def test_license_scan_of_two_licences_in_one_block(spark):
+    """A match goes only if others explain what tells it apart."""
+    gnu = "GNU {}General Public License version {}"
+    texts = {
+        "Licensed under the GNU Lesser General Public License version 3 or the Mozilla Public License version 2.0": "lgpl-3,mpl-2",
+        f"Licensed under the {gnu.format('', 2)} or the {gnu.format('Lesser ', 3)}": "gpl-2,lgpl-3",
+        f"Licensed under the {gnu.format('Lesser ', 3)} or the {gnu.format('Affero ', 3)}": "agpl-3,lgpl-3",
+        f"Licensed under the {gnu.format('', 2)} or version 3": "gpl-2,gpl-3",
+        "Licensed under the Apache License, Version 2.0 or the Mozilla Public License, Version 2.0": "apache-2,mpl-2",
+        "Licensed under the Eclipse Public License, Version 2.0, made public": "epl-2",
+        "This public text is licensed under the Apache License, Version 2.0": "apache-2",
+        f"Licensed under the {gnu.format('', 3)}": "gpl-3",
+        f"Licensed under the {gnu.format('Affero ', 3)}": "agpl-3",
+    }
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(odd_documents(spark, texts)).collect()}
+    assert [got[100 + i] for i in range(len(texts))] == [(labels, 1.0) for labels in texts.values()]
+    twins = license_scan.scan_licenses(odd_documents(spark, ["a b c d e", "a b c d"]), phrases={"zz": "zz"}, templates=[("x", "a b c d e"), ("y", "e d c b a")])
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in twins.collect() if r["score"]} == {100: ("x,y", 1.0), 101: ("x,y", 0.8)}
+
+
 # quality rules
 
 
