@@ -152,17 +152,35 @@ def numbered_revisions(changes: DataFrame) -> DataFrame:
     return wn.history_counts(rows, FILE, ["commit_id"], {"position": F.lit(1)})
 
 
-def earlier_revisions(changes: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+def revision_positions(changes: DataFrame) -> DataFrame:
+    """``position`` of every change in its file, oldest first, and the ``previous_commit`` of the file.
+
+    The earlier revisions of any change are the positions below its own, so this answers for all
+    of them with one row each. Positions meet their successors by a key, whatever file is busy.
+    """
+    here = F.col("commit_id")
+    none = F.when(F.lit(False), here)  # null of the same type
+    own = F.struct(F.col("position").alias("position"), here.alias("commit_id"), none.alias("previous_commit"))
+    following = F.struct((F.col("position") + 1).alias("position"), none.alias("commit_id"), here.alias("previous_commit"))
+    both = numbered_revisions(changes).select(*FILE, F.inline(F.array(own, following)))
+    return both.groupBy(*FILE, "position").agg(F.max("commit_id").alias("commit_id"), F.max("previous_commit").alias("previous_commit")).filter("commit_id IS NOT NULL")
+
+
+def earlier_revisions(changes: DataFrame, probes: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
     """Earlier changes of the file of each probe, oldest first, as rows.
 
-    ``probes`` has project, path and commit_id, one per file wanted; without it every
-    file is asked for as of its latest change, so the output is linear in the input.
+    ``probes`` has project, path and commit_id; without it every file is asked for as of its
+    latest change, so the output is linear in the input. Several probes of a file each list all
+    before them, which grows with the square of its changes: a list that would give more than
+    ``most_rows`` rows is refused. ``revision_positions`` answers for all changes at once.
     """
     numbered = numbered_revisions(changes)
     if probes is None:
         last = numbered.groupBy(*FILE).agg(F.max("position").alias("_at"), F.max_by("commit_id", "position").alias("probe_commit"))
     else:
         last = probes.join(numbered, [*FILE, "commit_id"]).select(*FILE, F.col("position").alias("_at"), F.col("commit_id").alias("probe_commit"))
+    if most_rows is not None and (last.agg(F.sum(F.col("_at") - 1)).first()[0] or 0) > most_rows:
+        raise ValueError("the probes have more earlier revisions than most_rows")
     return numbered.join(last, FILE).filter("position < _at").select(*FILE, "probe_commit", "position", "commit_id")
 
 

@@ -115,6 +115,13 @@ def earlier_revisions(spark, sf):
     return hs.earlier_revisions(_files(spark, sf))
 
 
+@query("j16_revision_positions", f"""WITH {CF}
+SELECT project, path, commit_id, row_number() OVER w AS position, lag(commit_id) OVER w AS previous_commit FROM commit_files WINDOW w AS (PARTITION BY project, path ORDER BY day, commit_id)""")
+def revision_positions(spark, sf):
+    return hs.revision_positions(_files(spark, sf))
+
+
+# An explicit list of probes; j16_revision_positions answers for every change.
 @query("j16_revisions_before_probes", f"""WITH {CF}, r AS (SELECT project, path, commit_id, row_number() OVER (PARTITION BY project, path ORDER BY day, commit_id) AS position FROM commit_files)
 SELECT p.project, p.path, p.commit_id AS probe_commit, r.position, r.commit_id FROM r p JOIN r ON r.project = p.project AND r.path = p.path AND r.position < p.position WHERE p.commit_id % 5 = 0""")
 def revisions_before_probes(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.learning import curves
 from riskloom.learning import regression as rg
 from riskloom.operators import aggregates as ag
+from riskloom.operators import history as hs
 from riskloom.operators import ranking as rk
 from riskloom.operators import tables as tb
 from riskloom.operators import windows as wn
@@ -215,3 +216,16 @@ def test_class_report_without_positives(spark):
     assert got["quiet"].precision is None
     assert (got["all"].precision, got["all"].accuracy) == (1.0, 1.0)
     assert got["all"].mcc == pytest.approx(1.0)
+
+
+def test_revision_positions_answer_for_every_probe(spark):
+    rows = [("p", f"c{c:03}", f"f{c % 3}" if c % 2 else "hot", f"2020-01-{c // 10 + 1:02}") for c in range(60)]
+    changes = spark.createDataFrame(rows, "project string, commit_id string, path string, day string").withColumn("day", F.col("day").cast("date"))
+    numbered = {(r["path"], r["commit_id"]): (r["position"], r["previous_commit"]) for r in hs.revision_positions(changes).collect()}
+    files = {path: sorted(c for _, c, f, _ in rows if f == path) for _, _, path, _ in rows}
+    assert numbered == {(f, c): (i + 1, own[i - 1] if i else None) for f, own in files.items() for i, c in enumerate(own)}
+    listed = hs.earlier_revisions(changes, changes, most_rows=10_000).collect()
+    below = [(f, c, b) for f, c in numbered for b in files[f] if numbered[f, b][0] < numbered[f, c][0]]
+    assert sorted((r["path"], r["probe_commit"], r["commit_id"]) for r in listed) == sorted(below)
+    with pytest.raises(ValueError):
+        hs.earlier_revisions(changes, changes, most_rows=len(below) - 1)
