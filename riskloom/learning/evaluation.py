@@ -20,7 +20,7 @@ from riskloom.operators import windows as wn
 from riskloom.operators.sets import union_all
 
 # Settings of the two tree models.
-FOREST = {"numTrees": 1500, "featureSubsetStrategy": "sqrt"}
+FOREST = {"numTrees": 1500, "maxDepth": 30, "featureSubsetStrategy": "sqrt"}  # 30: the deepest that Spark grows
 BOOSTED = {"maxIter": 1000, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.8}
 
 SCORED = ["project", "row_id", "label", "score", "predicted"]
@@ -50,6 +50,17 @@ def importances(spark, model: PipelineModel, features: Sequence[str]) -> DataFra
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
 
 
+def equalised(train: DataFrame, features: Sequence[str], seed: int, resample: str | None = "under") -> DataFrame:
+    """Training rows with equal classes: less of the larger, ``smote`` of the smaller, or as they are (None)."""
+    if resample == "under":
+        return sampling.under_sample(train, "label", ["project", "row_id"], seed)
+    if resample == "smote":
+        extra = sampling.smote(train, "label", "row_id", features, seed)
+        minority = train.groupBy("label").count().orderBy("count", F.desc("label")).first()  # two rows
+        return train.select("label", *features).unionByName(extra.select(F.lit(minority["label"]).alias("label"), *features))
+    return train
+
+
 def fit_and_score(
     train: DataFrame, test: DataFrame, kind: str, features: Sequence[str], seed: int, resample: str | None = "under", **params: object
 ) -> tuple[DataFrame, PipelineModel | None]:
@@ -61,12 +72,7 @@ def fit_and_score(
     if kind == "random":
         out = sampling.random_baseline(train, test, "label", ["project", "row_id"], seed)
         return out.withColumn("score", F.col("predicted").cast("double")).select(*SCORED), None
-    if resample == "under":
-        train = sampling.under_sample(train, "label", ["project", "row_id"], seed)
-    elif resample == "smote":
-        extra = sampling.smote(train, "label", "row_id", features, seed)
-        minority = train.groupBy("label").count().orderBy("count", F.desc("label")).first()  # two rows
-        train = train.select("label", *features).unionByName(extra.select(F.lit(minority["label"]).alias("label"), *features))
+    train = equalised(train, features, seed, resample)
     model = estimator(kind, features, seed, **params).fit(train)
     return score_rows(model, test), model
 
@@ -216,11 +222,12 @@ def fold_metrics(scored: DataFrame, keys: Sequence[str], bins: int = 64) -> Data
 
 
 def parameter_search(
-    rows: DataFrame, kind: str, features: Sequence[str], space: Mapping[str, Sequence[object]], draws: int, seed: int, folds: int = 3, **fixed: object
+    rows: DataFrame, kind: str, features: Sequence[str], space: Mapping[str, Sequence[object]], draws: int, seed: int, folds: int = 3, resample: str | None = "under", **fixed: object
 ) -> tuple[DataFrame, dict[str, object], PipelineModel]:
     """Random search over expanding time folds by area under the PR curve, then a refit.
 
-    ``rows`` has a ``_chunk`` from 0 to ``folds``. Returns one row per draw, the best
+    ``rows`` has a ``_chunk`` from 0 to ``folds``. Classes of training rows are made equal as in
+    ``fit_and_score``; test rows stay as they are. Returns one row per draw, the best
     settings and the model fitted on everything.
     """
     rng = random.Random(seed)
@@ -231,10 +238,10 @@ def parameter_search(
         marks = []
         for fold in range(1, folds + 1):
             train, test = rows.filter(F.col("_chunk") < fold), rows.filter(F.col("_chunk") == fold)
-            model = estimator(kind, features, seed, **{**fixed, **chosen}).fit(train)
+            model = estimator(kind, features, seed, **{**fixed, **chosen}).fit(equalised(train, features, seed, resample))
             marks.append(evaluator.evaluate(score_rows(model, test)))
         results.append((n, str(chosen), sum(marks) / len(marks), chosen))
     best = max(results, key=lambda r: (r[2], -r[0]))
-    model = estimator(kind, features, seed, **{**fixed, **best[3]}).fit(rows)
+    model = estimator(kind, features, seed, **{**fixed, **best[3]}).fit(equalised(rows, features, seed, resample))
     table = rows.sparkSession.createDataFrame([r[:3] for r in results], "draw int, settings string, pr_auc double")
     return table, best[3], model

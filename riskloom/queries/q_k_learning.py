@@ -9,14 +9,15 @@ from riskloom.learning import evaluation as ev
 from riskloom.learning import regression as rg
 from riskloom.learning import sampling as sp
 from riskloom.operators import windows as wn
+from riskloom.operators.sets import union_all
 from riskloom.queries import standins as s
 from riskloom.queries.q_e_windows import CURVE_CTE
 from riskloom.queries.registry import query
 from riskloom.session import load, settle
 
 FEATURES = ["added", "deleted", "commit_count"]
-# The queries fit few, shallow trees: see the README for what the shipped settings would take.
-# Everything else is whole: all entities, equalised classes, all rows. What does not depend on
+# The queries fit few, shallow trees, with few repetitions, folds and draws: see the README.
+# Entities, equalised classes and rows are whole. What does not depend on
 # the trees (folds, sizes, classes) has queries of its own with SQL.
 FOREST = {"numTrees": 5, "maxDepth": 4}
 BOOSTED = {"maxIter": 5, "maxDepth": 3}
@@ -180,10 +181,12 @@ def feature_set_experiments(spark, sf):
 def importances(spark, sf):
     rows = settle(learning_rows(spark, sf), "rows")
     parts = []
-    for i in range(2):
-        _, model = ev.cross_entity_validation(rows, "g0", "random_forest", FEATURES, 1 + i, **FOREST)
-        parts.append(ev.importances(spark, model, FEATURES).withColumn("repetition", F.lit(i)))
-    return parts[0].unionByName(parts[1]).groupBy("feature").agg(F.avg("importance").alias("importance"))
+    for target in GROUPS:
+        for i in range(2):
+            got = ev.cross_entity_validation(rows, target, "random_forest", FEATURES, 1 + i, **FOREST)
+            if got is not None:
+                parts.append(ev.importances(spark, got[1], FEATURES))
+    return union_all(parts).groupBy("feature").agg(F.avg("importance").alias("importance"))
 
 
 @query("k15_risk_columns", f"""WITH {ROWS_CTE}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom.learning import evaluation as ev
 from riskloom.learning import sampling as sp
+from riskloom.queries import q_k_learning as lk
 
 FEATURES = ["a", "b"]
 SMALL = {"random_forest": {"numTrees": 5, "maxDepth": 3}, "boosted": {"maxIter": 3, "maxDepth": 2}}
@@ -54,6 +55,38 @@ def test_parameter_search_returns_the_best_draw(rows):
     assert all(0 <= r["pr_auc"] <= 1 for r in found) and model is not None
 
 
+def test_parameter_search_equalises_training_rows_only(rows, monkeypatch):
+    sizes, tested, estimator, score_rows = [], [], ev.estimator, ev.score_rows
+
+    class Counted:
+        def __init__(self, *args, **params):
+            self.own = estimator(*args, **params)
+
+        def fit(self, train):
+            sizes.append({r["label"]: r["count"] for r in train.groupBy("label").count().collect()})
+            return self.own.fit(train)
+
+    monkeypatch.setattr(ev, "estimator", Counted)
+    monkeypatch.setattr(ev, "score_rows", lambda model, test: tested.append(test.count()) or score_rows(model, test))
+    chunked = ev.day_chunks(rows.filter("label = 0 OR row_id % 3 > 0"), 4)
+    ev.parameter_search(chunked, "random_forest", FEATURES, {"maxDepth": [1]}, 1, seed=1, folds=2, numTrees=1)
+    assert len(sizes) == 3 and all(n[0] == n[1] for n in sizes)
+    assert tested == [chunked.filter(f"_chunk = {i}").count() for i in (1, 2)]
+
+
+def test_importances_query_fits_every_group(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(ev, "cross_entity_validation", lambda rows, target, *a, **b: asked.append(target) or (None, len(asked)))
+    monkeypatch.setattr(ev, "importances", lambda spark, model, features: spark.createDataFrame([(f, float(model)) for f in features], "feature string, importance double"))
+    found = lk.importances(spark, "/root/testdata/sf0.001").collect()
+    assert set(asked) == set(lk.GROUPS) and len(found) == 3
+    assert {r["importance"] for r in found} == {(len(asked) + 1) / 2}
+
+
+def test_shipped_forest_grows_as_deep_as_spark_can():
+    assert ev.estimator("random_forest", FEATURES, 1).getStages()[-1].getMaxDepth() == 30
+
+
 def test_importances_name_the_feature_that_matters(spark, rows):
     _, model = ev.cross_entity_validation(rows, "g0", "random_forest", FEATURES, 1, **SMALL["random_forest"])
     values = {r["feature"]: r["importance"] for r in ev.importances(spark, model, FEATURES).collect()}
