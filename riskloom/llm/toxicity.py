@@ -140,7 +140,7 @@ def train(
     """Fit on labelled documents outside the held-out quarter.
 
     At most ``sample_docs`` documents and ``sample_bytes`` of whole texts are taken, in the order
-    of a hash of the id. Null labels, null ids and labels other than 0 and 1 are ignored; an id
+    of a hash of the id; of an id on several rows one text is taken, by a hash of it. Null labels, null ids and labels other than 0 and 1 are ignored; an id
     labelled both ways is ignored too.
     """
     spark = docs.sparkSession
@@ -160,7 +160,8 @@ def train(
     if not chosen:
         return fit([])
     wanted = F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int"))  # sample_docs rows at most
-    rows = texts.join(wanted, "doc_id").select("text", "label").collect()  # sample_bytes at most
+    one = F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = texts.join(wanted, "doc_id").groupBy("doc_id", "label").agg(one).select("text", "label").collect()  # sample_bytes at most
     return fit([(r["text"].encode("utf-8", "surrogatepass"), r["label"]) for r in rows])
 
 

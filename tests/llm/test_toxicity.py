@@ -80,3 +80,12 @@ def test_sample_is_bounded(spark, monkeypatch, sample_docs, sample_bytes):
     monkeypatch.setattr(toxicity, "fit", lambda sample: seen.extend(sample) or toxicity.Model({}, 0.0))
     toxicity.train(docs, labels, sample_docs=sample_docs, sample_bytes=sample_bytes)
     assert 0 < len(seen) <= sample_docs and sum(len(t) for t, _ in seen) <= sample_bytes
+
+
+def test_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, f"text {d} {k} " + "x" * 100) for d in range(20) for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(20)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample: seen.extend(sample) or toxicity.Model({}, 0.0))
+    toxicity.train(docs, labels, sample_bytes=5_000)
+    assert 0 < len(seen) == len({t.split()[1] for t, _ in seen}) and sum(len(t) for t, _ in seen) <= 5_000
