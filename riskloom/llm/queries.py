@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chat, decontaminate, license_scan, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
+from riskloom.llm import chat, decontaminate, license_scan, packing, prefix_trie, quality, secrets, simhash, suffix_dedup, token_counts, toxicity, vantage, whitening
 from riskloom.queries.registry import QueryFn
 from riskloom.session import load, scratch_path
 
@@ -151,3 +151,41 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(load(spark, sf_dir, "conversations"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
+
+
+@query("op12_nearest_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return vantage.nearest(vectors, vectors.filter("vec_id % 100 = 0"))  # the query set of the contract
+
+
+# CRC-32 bit by bit: eight steps per byte of the decimal id
+_CRC_STEP = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {_CRC_STEP}), 4294967295)"
+
+
+@query(
+    "op13_conversation_trie",
+    f"""
+    WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, substr(sha256(strlen(role) || ':' || role || text), 1, 30)) AS t FROM r GROUP BY conv_id),
+    h AS (SELECT conv_id, t, {_CRC} % 9 AS h FROM c),
+    full_conv AS (SELECT h.conv_id, coalesce(b.t, [])[1 : h] || h.t[h + 1 :] AS t FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 5),
+    steps AS (SELECT conv_id, t[1 : d] AS seq, d, len(t) AS size FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM full_conv)),
+    nodes AS (SELECT seq, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d) AS ends,
+                     CASE WHEN d = 0 THEN 0 ELSE strlen(seq[d].text) END AS bytes FROM steps GROUP BY seq, d),
+    kids AS (SELECT seq[1 : d - 1] AS seq, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+    full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (seq)),
+    up AS (SELECT seq[1 : k] AS seq, n_children, n_convs, bytes FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM full_nodes)),
+    totals AS (SELECT seq, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens FROM up GROUP BY seq)
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+    FROM full_nodes n JOIN totals USING (seq) LEFT JOIN nodes p ON n.d > 0 AND p.seq = n.seq[1 : n.d - 1]""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
