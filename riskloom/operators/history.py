@@ -8,16 +8,19 @@ file nor a busy author meets in one task, not even on one day.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
 from riskloom.functions.numeric import ratio_or_null
+from riskloom.operators import scans as sc
 from riskloom.operators import windows as wn
+from riskloom.session import settle
 
 COMMIT = ["project", "commit_id"]
 FILE = ["project", "path"]
 AUTHOR = ["project", "author"]
+LISTED = 512  # authors of a file that are kept as numbers before bitmaps set in
 
 
 def commits_of(changes: DataFrame) -> DataFrame:
@@ -49,22 +52,67 @@ def past_fixes(changes: DataFrame) -> DataFrame:
     return run.groupBy(*COMMIT).agg(F.sum("_fixes").alias("past_bug_fixes"))
 
 
-def developers(changes: DataFrame) -> DataFrame:
+def _author_numbers(authors: DataFrame) -> DataFrame:
+    """Authors of each project numbered from 1, in the order of a hash that also cuts them into chunks."""
+    hashed = authors.withColumn("_h", F.md5(F.col("author").cast("string")))
+    return sc.running_totals(hashed, ["project"], F.substring("_h", 1, 3), ["_h", "author"], {"_no": F.lit(1).cast("long")}).drop("_h")
+
+
+def developers(changes: DataFrame, listed: int = LISTED) -> DataFrame:
     """Distinct authors of the touched files up to and with this commit.
 
-    Only an author's first change of a file matters. A commit with one file reads a running
-    count of first changes; one with more files meets each author of its files once per
-    file (never other commits) before authors are made distinct.
+    Only an author's first change of a file matters. A file with at most ``listed`` authors is one
+    row with their first changes, of which a commit reads those up to its own; its developers
+    are the union over its files. Files with more authors are scanned in chunks and their
+    authors are kept as bitmaps of 32,768 authors each. No commit is joined with authors: a commit
+    adds one list, or one bitmap per 32,768 authors, for each file it touches.
+    """
+    at = ["day", "commit_id"]
+    changes = settle(changes.select(*FILE, *at, "author").distinct(), "developers-changes")
+    first = settle(changes.groupBy(*FILE, "author").agg(F.min(F.struct(*at)).alias("_at")).select(*FILE, "_at.*", "author"), "developers-first")
+    busy = settle(first.groupBy(*FILE).agg((F.count("*") > listed).alias("_busy")).filter("_busy"), "developers-busy")
+
+    by_file = first.join(busy, FILE, "left_anti").groupBy(*FILE).agg(F.collect_list(F.struct(*at, "author")).alias("_met"))
+    earlier = F.filter("_met", lambda e: F.struct(e["day"], e["commit_id"]) <= F.struct(*at))
+    rows = changes.drop("author").join(by_file, FILE).select(*FILE, *at, F.transform(earlier, lambda e: e["author"]).alias("_list"))
+
+    order = [F.asc("day"), F.asc("commit_id"), F.desc("_new")]  # a first change comes before the commit's own row
+    marks = first.withColumn("_new", F.lit(1)).unionByName(changes.drop("author").withColumn("_new", F.lit(0)), allowMissingColumns=True)
+    marks = sc.in_ranges(marks.join(busy, FILE), FILE, order, "developers-marks")
+    marks = settle(sc.prefix_scan(marks, FILE, order, {"_n": ("sum", F.col("_new").cast("long"))}), "developers-counted")
+
+    asked = rows.unionByName(marks.filter("_new = 0"), allowMissingColumns=True)
+    union = F.size(F.array_distinct(F.flatten(F.collect_list("_list")))).cast("long")
+    per = asked.groupBy(*COMMIT).agg(F.count("*").alias("_files"), F.max("_n").alias("_n"), union.alias("_union"), F.max("_busy").alias("_busy"))
+    plain = per.filter("_files = 1 OR _busy IS NULL").select(*COMMIT, F.coalesce("_n", "_union").alias("ndev"))
+    hard = asked.join(per.filter("_files > 1 AND _busy").select(*COMMIT), COMMIT, "left_semi")
+    numbers = _author_numbers(first.join(busy.select("project").distinct(), "project", "left_semi").select(*AUTHOR).distinct())
+    return plain.unionByName(_busy_developers(marks.filter("_new = 1"), hard, numbers, order))
+
+
+def _busy_developers(new: DataFrame, asked: DataFrame, numbers: DataFrame, order: list[Column]) -> DataFrame:
+    """``ndev`` of commits with several files of which one has many authors, by bitmaps of author numbers.
+
+    ``new`` has the first changes of files with many authors, ``asked`` all files of the commits.
+    Of each file a commit takes two bitmaps: authors of its own chunk so far, and those of all
+    chunks before, which are merged once per chunk.
     """
-    at = F.struct("day", "commit_id")
-    first = changes.groupBy(*FILE, "author").agg(F.min(at).alias("_first"))
-    rows = changes.join(first, [*FILE, "author"]).withColumn("_new", (F.col("_first") == at).cast("int"))
-    files = changes.groupBy(*COMMIT).agg(F.count("*").alias("_files"))
-    run = wn.history_counts(rows, FILE, ["commit_id"], {"ndev": F.col("_new")}).join(files, COMMIT)
-    single = run.filter("_files = 1").select(*COMMIT, "ndev")
-    several = changes.join(files.filter("_files > 1"), COMMIT).select(*COMMIT, "path", at.alias("_at"))
-    met = several.join(first, FILE).filter("_first <= _at").select(*COMMIT, "author").distinct()
-    return single.unionByName(met.groupBy(*COMMIT).agg(F.count("*").alias("ndev")))
+    bucket, bits = F.bitmap_bucket_number("_no"), F.bitmap_construct_agg(F.bitmap_bit_position("_no"))
+    new = new.join(numbers, AUTHOR).withColumn("_bucket", bucket).drop("author")
+    last = numbers.groupBy("project").agg(F.max(bucket).alias("_last"))
+    probes = asked.filter("_busy").drop("author", "_list").join(last, "project")
+    probes = probes.withColumn("_bucket", F.explode(F.sequence(F.lit(1).cast("long"), "_last"))).drop("_last")
+    place = [*FILE, "_bucket"]
+    so_far = Window.partitionBy(*place, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = new.unionByName(probes.withColumn("_no", F.lit(None).cast("long"))).withColumn("_bits", bits.over(so_far)).filter("_new = 0")
+    stops = probes.select(*place, "_chunk").distinct().unionByName(new.select(*place, "_chunk", "_no"), allowMissingColumns=True)
+    stops = stops.groupBy(*place, "_chunk").agg(bits.alias("_bits"))
+    earlier = Window.partitionBy(*place).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = probes.join(stops.withColumn("_bits", F.bitmap_or_agg("_bits").over(earlier)), [*place, "_chunk"])
+    loose = asked.filter("_busy IS NULL").select(*COMMIT, F.explode("_list").alias("author")).distinct().join(numbers, AUTHOR)
+    loose = loose.groupBy(*COMMIT, bucket.alias("_bucket")).agg(bits.alias("_bits"))
+    met = loose.unionByName(inside.select(*loose.columns)).unionByName(before.select(*loose.columns))
+    return met.groupBy(*COMMIT, "_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_c")).groupBy(*COMMIT).agg(F.sum("_c").alias("ndev"))
 
 
 def age(changes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import clean
+from riskloom.operators import scans as sc
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
@@ -78,20 +79,22 @@ def first_crossing(
 ) -> DataFrame:
     """For each distinct (keys, target) the first event whose reach is at least the target.
 
-    Only events that raise the running maximum can be first, and along them event number
-    and reach grow together, so one window over events and distinct targets in reach order
-    finds the answer.
+    Only events that raise the running maximum can be first. Downwards in reach, events and
+    distinct targets then stand in one order, in which the least event number so far is the
+    answer. Both are prefix scans over ranges of their order, so a key may hold any share of
+    the events.
     """
-    order = Window.partitionBy(*keys).orderBy(event_no)
-    best = F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    records = events.select(*keys, event_no, reach, best.alias("_best")).filter("_best IS NULL OR " + reach + " > _best")
+    rows = sc.in_ranges(events.select(*keys, event_no, reach), keys, [event_no], "crossing-events")
+    records = sc.prefix_scan(rows, keys, [F.asc(event_no)], {"_best": ("max", F.col(reach))}, include_current=False)
+    records = records.filter("_best IS NULL OR " + reach + " > _best")
     side_a = records.select(*keys, (F.col(reach) + eps).alias("_at"), F.col(event_no).alias("_no"), F.lit(None).cast("double").alias("_t"))
     side_b = targets.select(*keys, target).distinct().select(
         *keys, F.col(target).cast("double").alias("_at"), F.lit(None).cast(events.schema[event_no].dataType).alias("_no"), F.col(target).cast("double").alias("_t")
     )
-    # range frame, so an event that reaches a target exactly is seen by it
-    following = Window.partitionBy(*keys).orderBy("_at").rangeBetween(0, Window.unboundedFollowing)
-    found = side_a.unionByName(side_b).withColumn("_hit", F.min("_no").over(following))
+    # an event that reaches a target exactly stands before it
+    order = [F.desc("_at"), F.asc_nulls_last("_no")]
+    both = sc.in_ranges(side_a.unionByName(side_b), keys, order, "crossing-targets")
+    found = sc.prefix_scan(both, keys, order, {"_hit": ("min", F.col("_no"))})
     return found.filter("_t IS NOT NULL").select(*keys, F.col("_t").alias(target), F.col("_hit").alias("hit_no"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riskloom.session import settle
@@ -47,6 +47,58 @@ def running_totals(
     )
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], label: str = "ranges", chunk: str = "_chunk") -> DataFrame:
+    """``df`` written in ranges of (keys, order), with the number of each row's range as ``chunk``.
+
+    Ranges hold about equally many rows, so a key of any size is cut as often as it needs, and
+    ranges follow the order inside each key. Ranges come from a sample and are written down,
+    so later steps all see the same ones. Rows that are equal in keys and order stay together.
+    """
+    return settle(df.repartitionByRange(*keys, *order).withColumn(chunk, F.spark_partition_id()), label)
+
+
+# what a prefix scan adds up: each aggregate merges rows and merges chunks alike
+FOLDS = {"sum": F.sum, "max": F.max, "min": F.min, "join": F.collect_list}
+
+
+def prefix_scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], folds: Mapping[str, tuple[str, Column]], include_current: bool = True, chunk: str = "_chunk"
+) -> DataFrame:
+    """Add per name the fold of a column over the rows of ``keys`` up to (or before) each row.
+
+    ``folds`` names a kind of ``FOLDS`` and a column each: sum, max, min, or join (arrays one after
+    the other; their total length per key should be bounded). The last value that is not null
+    is the max of ``last_value``. Where a kind has met nothing but nulls the result is null, and
+    empty for join. ``chunk`` is as in ``in_ranges``, or null-free and rising along ``order``;
+    ``order`` is total inside a key, or rows that tie stand in any order.
+
+    Chunks are folded first, a window runs over these few totals, and what comes before a chunk
+    enters it as one more row ahead of its own, so no task ever holds a key's rows and the
+    rows are shuffled once.
+    """
+    names = list(folds)
+    values = {f"_v_{n}": e for n, (_, e) in folds.items()}
+    rows = df.withColumns(values)
+
+    def merged(name: str, column: str, frame: WindowSpec | None = None) -> Column:
+        found = FOLDS[folds[name][0]](column)
+        found = found if frame is None else found.over(frame)
+        return F.flatten(found) if folds[name][0] == "join" else found
+
+    totals = rows.groupBy(*keys, chunk).agg(*[merged(n, f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, chunk, *[merged(n, f"_t_{n}", before).alias(f"_v_{n}") for n in names])
+    carry = carry.withColumn("_own", F.lit(False))
+    both = rows.withColumn("_own", F.lit(True)).unionByName(carry, allowMissingColumns=True)
+    frame = Window.partitionBy(*keys, chunk).orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    return both.withColumns({n: merged(n, f"_v_{n}", frame) for n in names}).filter("_own").drop("_own", *values)
+
+
+def last_value(order: Sequence[str], value: Column) -> Column:
+    """For a max fold: the value with its place, null where the value is null; read ``.value``."""
+    return F.when(value.isNotNull(), F.struct(*order, value.alias("value")))
+
+
 def equal_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Per key, an array of cuts ``_edges`` that split its rows into about equal parts, whatever
     their distribution. Cuts are approximate and only steer the load: results never depend on them."""

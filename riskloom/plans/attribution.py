@@ -3,20 +3,23 @@
 Closed form per (strategy, project): with ``days`` since the first event (held at
 window + 1 where a window is set), base progress is rate * days and an event reaches
 progress + scheduled. A target goes to the first event that reaches it, so everything
-follows from windows over events and distinct targets; no event is replayed.
+follows from prefix scans over events and distinct targets; no event is replayed. The scans run
+over ranges of the order, whatever share of the events one project holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import ratio_or_null
 from riskloom.operators import joins as jn
+from riskloom.operators import scans as sc
 from riskloom.session import settle
 
 EPS = 1e-9
 KEYS = ["strategy", "project"]
+ORDER = ["day", "event_id"]
 INF = float("inf")
 
 
@@ -24,8 +27,10 @@ def _events(schedules: DataFrame, rates: DataFrame, window: int) -> DataFrame:
     rate = F.greatest(F.coalesce("rate", F.lit(0.0)), F.lit(0.0)).cast("double")
     rows = schedules.select(*KEYS, "day", "event_id", F.coalesce("scheduled", F.lit(0)).cast("double").alias("scheduled"))
     rows = rows.join(rates.select("project", rate.alias("rate")), "project", "left").fillna(0.0, ["rate"])
-    w = Window.partitionBy(*KEYS).orderBy("day", "event_id")
-    out = rows.withColumns({"no": F.row_number().over(w), "_first": F.min("day").over(w), "_prev": F.lag("day").over(w)})
+    rows = sc.in_ranges(rows, KEYS, ORDER, "events-in-order")
+    day, before = F.col("day"), {"_n": ("sum", F.lit(1)), "_earliest": ("min", F.col("day")), "_prev": ("max", F.col("day"))}
+    out = sc.prefix_scan(rows, KEYS, [F.asc(c) for c in ORDER], before, include_current=False)
+    out = out.withColumns({"no": (F.coalesce("_n", F.lit(0)) + 1).cast("int"), "_first": F.least("_earliest", day)}).drop("_n", "_earliest")
     days = F.datediff("day", "_first")
     if window > 0:
         days = F.least(days, F.lit(window + 1))
@@ -73,14 +78,16 @@ def crossing_attribution(schedules: DataFrame, targets: DataFrame, rates: DataFr
     )
     has_targets = targets.select("project").distinct().withColumn("_has", F.lit(1))
 
-    order = Window.partitionBy(*KEYS).orderBy("no")
-    reached = F.greatest(F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("progress"))
-    marks = events.withColumn("_at", F.coalesce(reached, F.col("progress")) + EPS)
-    # next open target: the smallest above everything reached so far (targets sort before events at a tie)
+    by_no = [F.asc("no")]
+    marks = sc.prefix_scan(events, KEYS, by_no, {"_reached": ("max", F.col("reach"))}, include_current=False)
+    marks = marks.withColumn("_at", F.greatest("_reached", F.col("progress")) + EPS)
+    # next open target: the smallest above everything reached so far, so downwards events stand before targets at a tie
     side_a = marks.select(*KEYS, "_at", F.lit(1).alias("_kind"), "no", F.lit(None).cast("double").alias("_t"))
     side_b = hits.select(*KEYS, F.col("target").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("no"), F.col("target").alias("_t"))
-    ahead = Window.partitionBy(*KEYS).orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    open_target = side_a.unionByName(side_b).withColumn("threshold", F.min("_t").over(ahead)).filter("_kind = 1").select(*KEYS, "no", "threshold")
+    down = [F.desc("_at"), F.desc("_kind")]
+    ahead = sc.in_ranges(side_a.unionByName(side_b), KEYS, down, "open-targets")
+    ahead = sc.prefix_scan(ahead, KEYS, down, {"threshold": ("min", F.col("_t"))})
+    open_target = ahead.filter("_kind = 1").select(*KEYS, "no", "threshold")
 
     out = events.join(open_target, [*KEYS, "no"]).join(per_event, [*KEYS, "no"], "left").join(has_targets, "project", "left")
     out = out.fillna(0, ["detections_count", "baseline_detections_count"])
@@ -94,13 +101,14 @@ def crossing_attribution(schedules: DataFrame, targets: DataFrame, rates: DataFr
         .otherwise("fp")
     )
     out = out.withColumns({"consumed": consumed, "success": success.cast("int"), "classification": label})
-    running = F.sum(F.col("detections_count") + F.col("baseline_detections_count")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = F.col("detections_count") + F.col("baseline_detections_count")
+    out = sc.prefix_scan(out, KEYS, by_no, {"_running": ("sum", found)})
     return out.withColumns(
         {
             "wasted": F.col("scheduled") - F.col("consumed"),
             "threshold": F.coalesce("threshold", F.lit(INF)),
             "expired": (F.col("classification") == "expired").cast("int"),
-            "detection_id": F.when(success, running),
+            "detection_id": F.when(success, F.col("_running")),
         }
     ).select(
         *KEYS, "day", "event_id", "no", "threshold", "scheduled", "consumed", "wasted", "success", "expired", "detection_id", "classification",
