@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.learning import curves
+from riskloom.learning import ensembles as en
 from riskloom.learning import evaluation as ev
 from riskloom.learning import regression as rg
 from riskloom.learning import sampling as sp
@@ -16,11 +17,11 @@ from riskloom.queries.registry import query
 from riskloom.session import load, settle
 
 FEATURES = ["added", "deleted", "commit_count"]
-# The queries fit few, shallow trees, with few repetitions, folds and draws: see the README.
-# Entities, equalised classes and rows are whole. What does not depend on
-# the trees (folds, sizes, classes) has queries of its own with SQL.
-FOREST = {"numTrees": 5, "maxDepth": 4}
-BOOSTED = {"maxIter": 5, "maxDepth": 3}
+# Trees, rounds, repetitions, folds and draws are those of the shipped jobs. A training set is
+# bounded to 256 labelled rows of each class, test rows are whole. What does not depend on
+# random draws (folds, sizes, classes, first splits) has queries of its own with SQL.
+MOST = 256
+FOLDS, REPETITIONS, DRAWS = 10, 30, 20
 GROUPS = [f"g{i}" for i in range(5)]
 
 ROWS_CTE = s.SCORED_CTE + """,
@@ -71,19 +72,74 @@ def smote(spark, sf):
     return out.select("id", "draw", F.round("n_chars", 6).alias("n_chars"), F.round("blanks", 6).alias("blanks"))
 
 
+def _rows(spark, sf):
+    return settle(learning_rows(spark, sf), "rows")
+
+
 def _holdout(spark, sf, kind, **params):
-    rows = settle(learning_rows(spark, sf), "rows")
-    return ev.repeated_scores(rows, GROUPS, kind, FEATURES, 1, 1, **params).select("project", "row_id", "label", "score", "predicted")
+    scored = en.across_entities(_rows(spark, sf), GROUPS, kind, {"all": FEATURES}, 1, 1, MOST, **params)
+    return scored.select("project", "row_id", "label", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query("k05_random_forest")
 def random_forest(spark, sf):
-    return _holdout(spark, sf, "random_forest", **FOREST)
+    return _holdout(spark, sf, "random_forest")
 
 
 @query("k06_boosted_trees")
 def boosted_trees(spark, sf):
-    return _holdout(spark, sf, "boosted", **BOOSTED)
+    return _holdout(spark, sf, "boosted")
+
+
+def _split_sql(l1: float, l2: float, least_gain: float, g: str, h: str, leaf: str) -> str:
+    """Scores of one tree of two levels on all features, from the gradients ``g`` and Hessians ``h`` of training rows."""
+    names = [f"'{f}'" for f in FEATURES]
+    of = lambda n: f"(CASE WHEN abs({n}) > {l1} THEN sign({n}) * (abs({n}) - {l1}) ELSE 0 END)"
+
+    def level(rows: str, keys: str) -> str:
+        left, right = of("gl"), of("(gt - gl)")
+        return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(gain, 7) DESC, f, cut) AS best FROM (
+          SELECT {keys}, f, cut, ({left})**2 / (hl + {l2}) + ({right})**2 / (ht - hl + {l2}) - ({of("gt")})**2 / (ht + {l2}) AS gain FROM (
+            SELECT {keys}, f, cut, sum(CASE WHEN v <= cut THEN g ELSE 0 END) AS gl, sum(CASE WHEN v <= cut THEN h ELSE 0 END) AS hl, sum(g) AS gt, sum(h) AS ht
+            FROM {rows} JOIN cuts USING (tset, f) GROUP BY {keys}, f, cut) WHERE hl >= 1 AND ht - hl >= 1 AND ht >= 2)
+          WHERE gain >= {least_gain}) WHERE best = 1"""
+
+    side = "CASE WHEN {0}.v <= s.cut THEN 0 ELSE 1 END"
+    return f"""WITH {ROWS_CTE},
+    sets AS (SELECT DISTINCT project AS tset FROM rows),
+    pool AS (SELECT * FROM (SELECT tset, rows.*, row_number() OVER (PARTITION BY tset, label ORDER BY md5(row_id || '::0'), row_id) AS place FROM rows JOIN sets ON tset <> project) WHERE place <= {MOST}),
+    cells AS (SELECT tset, row_id, label, {g} AS g, {h} AS h, unnest([0, 1, 2]) AS f, unnest([{", ".join(FEATURES)}]) AS v FROM pool),
+    sorted AS (SELECT tset, f, list_sort(list(v)) AS vs, count(DISTINCT v) AS n, max(v) AS top FROM cells GROUP BY tset, f),
+    cuts AS (SELECT DISTINCT tset, f, cut FROM (SELECT tset, f, n, top, unnest(CASE WHEN n <= 64 THEN vs ELSE list_transform(range(1, 64), lambda i: vs[1 + CAST(floor(i / 64.0::DOUBLE * (len(vs) - 1)) AS BIGINT)]) END) AS cut FROM sorted) WHERE n > 64 OR cut < top),
+    one AS ({level("cells", "tset")}),
+    sided AS (SELECT c.*, {side.format("k")} AS side FROM cells c JOIN one s USING (tset) JOIN cells k ON k.tset = c.tset AND k.row_id = c.row_id AND k.f = s.f),
+    two AS ({level("sided", "tset, side")}),
+    test AS (SELECT project AS tset, row_id, label, unnest([0, 1, 2]) AS f, unnest([{", ".join(FEATURES)}]) AS v FROM rows),
+    first_side AS (SELECT t.tset, t.row_id, t.label, {side.format("t")} AS side FROM test t JOIN one s USING (tset, f)),
+    second_side AS (SELECT a.*, CASE WHEN s.f IS NULL THEN 2 WHEN t.v <= s.cut THEN 0 ELSE 1 END AS deep FROM first_side a LEFT JOIN two s USING (tset, side)
+      LEFT JOIN test t ON t.tset = a.tset AND t.row_id = a.row_id AND t.f = s.f),
+    leaves AS (SELECT c.tset, c.side, CASE WHEN s.f IS NULL THEN 2 WHEN k.v <= s.cut THEN 0 ELSE 1 END AS deep, sum(c.g) AS gt, sum(c.h) AS ht
+      FROM (SELECT * FROM sided WHERE f = 0) c LEFT JOIN two s USING (tset, side) LEFT JOIN cells k ON k.tset = c.tset AND k.row_id = c.row_id AND k.f = s.f GROUP BY ALL)
+    SELECT tset AS project, row_id, label, round({leaf.format(of("gt"))}, 9) AS score FROM second_side JOIN leaves USING (tset, side, deep)"""
+
+
+def _first_splits(spark, sf, kind, **params):
+    """One tree of two levels, on all rows of the training sets and all features."""
+    rows = en.vectors(_rows(spark, sf), FEATURES)
+    fits = [en.Fit("tree", t, kind, 1, {"max_depth": 2, **params}, equalise=False) for t in GROUPS]
+    scored = en.score(fits, en.others(rows, GROUPS), rows.withColumn("set", F.col("project")), MOST)
+    scored = scored.select(F.col("set").alias("project"), "row_id", F.round("score", 9).alias("score"))
+    return rows.select("project", "row_id", "label").join(scored, ["project", "row_id"])
+
+
+@query("k05_first_splits", _split_sql(0, 0, -1e-9, "-label::DOUBLE", "1.0::DOUBLE", "-gt / ht"))
+def forest_first_splits(spark, sf):
+    return _first_splits(spark, sf, "random_forest", trees=1, bootstrap=False, candidates=None)
+
+
+@query("k06_first_round", _split_sql(1, 2, 1, "0.5::DOUBLE - label", "0.25::DOUBLE", "1 / (1 + exp(0.03 * {0} / (ht + 2)))"))
+def boosted_first_round(spark, sf):
+    return _first_splits(spark, sf, "boosted", rounds=1, subsample=1.0, columns=1.0)
 
 
 @query("k07_random_baseline", f"""WITH {ROWS_CTE}, rate AS (SELECT project, avg(label) AS p FROM rows WHERE day < DATE '1998-01-01' GROUP BY 1)
@@ -101,8 +157,7 @@ def parameter_search(spark, sf):
     rows = learning_rows(spark, sf)
     days = wn.sequential_chunks(rows.select("day").distinct().withColumn("_all", F.lit(1)), "_all", 4, "_chunk").select("day", "_chunk")
     chunked = settle(rows.join(days, "day"), "search")
-    table, _, _ = ev.parameter_search(chunked, "random_forest", FEATURES, {"maxDepth": [2, 4], "numTrees": [3, 5]}, 2, seed=1, folds=3)
-    return table
+    return en.search(chunked, "random_forest", FEATURES, DRAWS, seed=1, folds=3, most=MOST)[0]
 
 
 @query("k09_time_series_validation")
@@ -111,7 +166,9 @@ def time_series_validation(spark, sf):
     rows = learning_rows(spark, sf).groupBy("project", "day").agg(
         F.min("row_id").alias("row_id"), F.max("label").alias("label"), *[F.sum(f).alias(f) for f in FEATURES]
     )
-    scored = ev.time_series_validation(settle(rows, "daily"), GROUPS, "random_forest", FEATURES, 3, seed=1, **FOREST)
+    chunked = settle(ev.time_folds(settle(rows, "daily"), FOLDS, False), "chunks")
+    scored = en.inside_entities(chunked, "random_forest", FEATURES, FOLDS, seed=1, most=MOST, entities=GROUPS)
+    scored = settle(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), "scores")
     return ev.fold_metrics(scored, ["project", "fold"])
 
 
@@ -119,13 +176,13 @@ _DAILY_SQL = "daily AS (SELECT project, day, min(row_id) AS row_id, max(label) A
 
 
 @query("k09_walk_forward_sizes", f"""WITH {ROWS_CTE}, {_DAILY_SQL},
-c AS (SELECT *, floor((row_number() OVER (PARTITION BY project ORDER BY day) - 1) / greatest(ceil(count(*) OVER (PARTITION BY project) / 3.0), 1)) AS chunk, count(*) OVER (PARTITION BY project) AS m FROM daily),
-b AS (SELECT project, chunk, count(*) AS n, sum(label) AS p FROM c WHERE m >= 6 GROUP BY ALL),
+c AS (SELECT *, floor((row_number() OVER (PARTITION BY project ORDER BY day) - 1) / greatest(ceil(count(*) OVER (PARTITION BY project) / 10.0), 1)) AS chunk, count(*) OVER (PARTITION BY project) AS m FROM daily),
+b AS (SELECT project, chunk, count(*) AS n, sum(label) AS p FROM c WHERE m >= 20 GROUP BY ALL),
 f AS (SELECT t.project, t.chunk, t.n AS n_test, t.p AS pos_test, sum(e.n) AS n_train, sum(e.p) AS pos_train FROM b t JOIN b e ON e.project = t.project AND e.chunk < t.chunk GROUP BY ALL)
 SELECT project, 'fold-' || CAST(chunk AS INTEGER) AS fold, CAST(n_train AS BIGINT) AS n_train, CAST(pos_train AS BIGINT) AS pos_train, n_test, CAST(pos_test AS BIGINT) AS pos_test, pos_train = 0 OR pos_train = n_train AS skipped FROM f""")
 def walk_forward_sizes(spark, sf):
     rows = learning_rows(spark, sf).groupBy("project", "day").agg(F.min("row_id").alias("row_id"), F.max("label").alias("label"))
-    return ev.walk_forward_sizes(settle(rows, "daily"), 3)
+    return ev.walk_forward_sizes(settle(rows, "daily"), FOLDS)
 
 
 @query("k10_stratified_folds", f"""WITH {ROWS_CTE}
@@ -137,12 +194,11 @@ def stratified_folds(spark, sf):
 
 @query("k11_cross_entity_validation")
 def cross_entity_validation(spark, sf):
-    rows = settle(learning_rows(spark, sf), "rows")
-    parts = []
-    for mode in MODES:
-        scored = ev.repeated_scores(rows, GROUPS, "random_forest", FEATURES, 1, 1, mode=mode, k=3, **FOREST)
-        parts.append(scored.withColumn("mode", F.lit(mode)))
-    return ev.fold_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["mode", "project", "fold"])
+    rows = _rows(spark, sf)
+    scored = en.across_entities(rows, GROUPS, "random_forest", {"all": FEATURES}, 1, 1, MOST)
+    scored = settle(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), "scores")
+    parts = [ev.test_folds(rows, mode, FOLDS, 1).select("project", "row_id", "fold", F.lit(mode).alias("mode")) for mode in MODES]
+    return ev.fold_metrics(scored.join(union_all(parts), ["project", "row_id"]), ["mode", "project", "fold"])
 
 
 MODES = ("full", "stratified", "time")
@@ -151,42 +207,37 @@ _OWN = "own AS (SELECT project, count(*) AS n, sum(label) AS p FROM rows GROUP B
 
 @query("k11_fold_sizes", f"""WITH {ROWS_CTE}, {_OWN},
 st AS (SELECT *, row_number() OVER (PARTITION BY project, label ORDER BY md5(project || '::' || row_id || '::1')) AS r, row_number() OVER (PARTITION BY project ORDER BY day, row_id) AS t, count(*) OVER (PARTITION BY project) AS m FROM rows),
-f AS (SELECT 'full' AS mode, project, 'full' AS fold, label FROM rows UNION ALL SELECT 'stratified', project, 'fold-' || ((r - 1) % 3 + 1), label FROM st
-  UNION ALL SELECT 'time', project, 'fold-' || CAST(floor((t - 1) / greatest(ceil(m / 3.0), 1)) + 1 AS INTEGER), label FROM st),
+f AS (SELECT 'full' AS mode, project, 'full' AS fold, label FROM rows UNION ALL SELECT 'stratified', project, 'fold-' || ((r - 1) % 10 + 1), label FROM st
+  UNION ALL SELECT 'time', project, 'fold-' || CAST(floor((t - 1) / greatest(ceil(m / 10.0), 1)) + 1 AS INTEGER), label FROM st),
 z AS (SELECT mode, project, fold, count(*) AS n_test, CAST(sum(label) AS BIGINT) AS pos_test FROM f GROUP BY ALL),
 a AS (SELECT sum(n) AS n, sum(p) AS p FROM own)
 SELECT z.*, CAST(a.n - own.n AS BIGINT) AS n_train, CAST(a.p - own.p AS BIGINT) AS pos_train, CAST(2 * least(a.p - own.p, a.n - own.n - a.p + own.p) AS BIGINT) AS n_equal,
   least(a.p - own.p, a.n - own.n - a.p + own.p) = 0 AS skipped FROM z JOIN own ON own.project = z.project, a""")
 def fold_sizes(spark, sf):
     rows = settle(learning_rows(spark, sf), "rows")
-    parts = [ev.fold_sizes(rows, mode, 3, 1).withColumn("mode", F.lit(mode)) for mode in MODES]
+    parts = [ev.fold_sizes(rows, mode, FOLDS, 1).withColumn("mode", F.lit(mode)) for mode in MODES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("k12_repeated_scores")
 def repeated_scores(spark, sf):
-    rows = settle(learning_rows(spark, sf), "rows")
-    scored = ev.repeated_scores(rows, GROUPS, "random_forest", FEATURES, 2, seed=1, **FOREST)
-    return ev.average_scores(scored)
+    return ev.average_scores(en.across_entities(_rows(spark, sf), GROUPS, "random_forest", {"all": FEATURES}, REPETITIONS, 1, MOST))
 
 
 @query("k13_feature_set_experiments")
 def feature_set_experiments(spark, sf):
-    rows = settle(learning_rows(spark, sf), "rows")
     sets = {"added": ["added"], "deleted": ["deleted"], "counts": ["commit_count"], "lines": ["added", "deleted"], "all": FEATURES}
-    return ev.experiments(rows, GROUPS, "random_forest", sets, 1, seed=1, **FOREST)
+    scored = en.across_entities(_rows(spark, sf), GROUPS, "random_forest", sets, REPETITIONS, 1, MOST)
+    return scored.groupBy("experiment", "project", "row_id").agg(F.max("label").alias("label"), F.avg("score").alias("score"))
 
 
 @query("k14_importances")
 def importances(spark, sf):
-    rows = settle(learning_rows(spark, sf), "rows")
-    parts = []
-    for target in GROUPS:
-        for i in range(2):
-            got = ev.cross_entity_validation(rows, target, "random_forest", FEATURES, 1 + i, **FOREST)
-            if got is not None:
-                parts.append(ev.importances(spark, got[1], FEATURES))
-    return union_all(parts).groupBy("feature").agg(F.avg("importance").alias("importance"))
+    rows = en.vectors(_rows(spark, sf), FEATURES)
+    fits = [en.Fit(str(i), t, "random_forest", 1 + i) for t in GROUPS for i in range(REPETITIONS)]
+    found = en.importances(fits, en.others(rows, GROUPS), MOST)
+    name = F.element_at(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature") + 1)
+    return found.groupBy(name.alias("feature")).agg(F.avg("importance").alias("importance"))
 
 
 @query("k15_risk_columns", f"""WITH {ROWS_CTE}

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from riskloom.learning import evaluation as ev
 from riskloom.learning import sampling as sp
-from riskloom.queries import q_k_learning as lk
 
 FEATURES = ["a", "b"]
 SMALL = {"random_forest": {"numTrees": 5, "maxDepth": 3}, "boosted": {"maxIter": 3, "maxDepth": 2}}
@@ -74,15 +73,6 @@ def test_parameter_search_equalises_training_rows_only(rows, monkeypatch):
     assert tested == [chunked.filter(f"_chunk = {i}").count() for i in (1, 2)]
 
 
-def test_importances_query_fits_every_group(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(ev, "cross_entity_validation", lambda rows, target, *a, **b: asked.append(target) or (None, len(asked)))
-    monkeypatch.setattr(ev, "importances", lambda spark, model, features: spark.createDataFrame([(f, float(model)) for f in features], "feature string, importance double"))
-    found = lk.importances(spark, "/root/testdata/sf0.001").collect()
-    assert set(asked) == set(lk.GROUPS) and len(found) == 3
-    assert {r["importance"] for r in found} == {(len(asked) + 1) / 2}
-
-
 def test_shipped_forest_grows_as_deep_as_spark_can():
     assert ev.estimator("random_forest", FEATURES, 1).getStages()[-1].getMaxDepth() == 30
 
