@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.scans import ordered_totals
 
 
-def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int = 64) -> DataFrame:
+def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Counts at and above each distinct score, highest first; ties are one point.
 
     Scores are grouped first, then added up bin by bin, so that neither a hot entity nor
@@ -19,23 +19,23 @@ def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (),
     points = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("n")
     )
-    run = ordered_totals(points, keys, "threshold", {"tp": F.col("pos"), "selected": F.col("n")}, bins, descending=True, label="scores")
+    run = ordered_totals(points, keys, "threshold", {"tp": F.col("pos"), "selected": F.col("n")}, descending=True, label="scores")
     totals = points.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("n").alias("rows"))
     out = run.join(totals, list(keys)) if keys else run.crossJoin(F.broadcast(totals))  # one row
     return out.withColumn("fp", F.col("selected") - F.col("tp"))
 
 
-def precision_recall(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bins: int = 64) -> DataFrame:
-    curve = score_curve(df, score, label, keys, bins)
+def precision_recall(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    curve = score_curve(df, score, label, keys)
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("positives")), F.lit(0.0))
     return curve.select(
         *keys, "threshold", (F.col("tp") / F.col("selected")).alias("precision"), recall.alias("recall"), "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn")
     )
 
 
-def ranking_areas(df: DataFrame, score: str, label: str, keys: Sequence[str], bins: int = 64) -> DataFrame:
+def ranking_areas(df: DataFrame, score: str, label: str, keys: Sequence[str]) -> DataFrame:
     """ROC area with tied ranks averaged, average precision, trapezoid PR area; null for one class."""
-    c = score_curve(df, score, label, keys, bins)
+    c = score_curve(df, score, label, keys)
     neg = F.col("n") - F.col("pos")
     tp0 = F.col("tp") - F.col("pos")
     sel0 = F.col("selected") - F.col("n")

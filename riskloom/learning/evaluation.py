@@ -215,10 +215,10 @@ def risk_columns(table: DataFrame, scores: DataFrame, names: Sequence[str], keys
     return out
 
 
-def fold_metrics(scored: DataFrame, keys: Sequence[str], bins: int = 64) -> DataFrame:
+def fold_metrics(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Class report, areas, positive rate and sizes per key, null where undefined."""
     report = scored.groupBy(*keys).agg(*ag.confusion("label", "predicted")).select(*keys, *ag.class_report())
-    return report.join(curves.ranking_areas(scored, "score", "label", keys, bins), list(keys))
+    return report.join(curves.ranking_areas(scored, "score", "label", keys), list(keys))
 
 
 def parameter_search(

@@ -9,12 +9,16 @@ ever sees one chunk.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riskloom.session import settle
 
+LOOSE_BAND = 0.05  # half the width of a band where a key has too few rows for a narrow one
+BROADCAST_KEYS = 10_000  # rows of a table with one row per key, up to which it is broadcast
+
 
 def running_totals(
     df: DataFrame,
@@ -111,70 +115,59 @@ def bin_of(value: Column) -> Column:
 
 
 def ordered_totals(
-    table: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], bins: int = 64, descending: bool = False, label: str = "ordered"
+    table: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], descending: bool = False, label: str = "ordered"
 ) -> DataFrame:
-    """Running sums per key in the order of ``value``, which is unique per key.
-
-    Values are cut into bins of about equal size, so no task holds all values of a key.
-    """
-    order = F.desc(value) if descending else F.asc(value)
-    table = settle(table, label)
-    edges = equal_bins(table, keys, value, bins)
-    cut = table.join(edges, list(keys)) if keys else table.crossJoin(F.broadcast(edges))  # edges: one row
-    place = bin_of(F.col(value))
-    # approximate cuts may differ between two runs, so the bin of each row is written down
-    cut = settle(cut.withColumn("_bin", -place if descending else place).drop("_edges"), label)
-    return running_totals(cut, keys, "_bin", [order], sums).drop("_bin")
-
-
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, bins: int = 64) -> DataFrame:
-    """Per key: each distinct value with its count ``n`` and the count ``cum`` up to it."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    return ordered_totals(counts, keys, "value", {"cum": F.col("n")}, bins)
-
-
-def _targets(counts: DataFrame, keys: Sequence[str], probs: Sequence[float], total: Column | None = None) -> DataFrame:
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("count"))
-    points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
-    pos = F.col("_pt.p") * (F.col("count") - 1)
-    return sizes.select(*keys, "count", points.alias("_pt")).select(
-        *keys, "count", F.col("_pt.i").alias("_i"), pos.alias("_pos"), F.floor(pos).alias("_low"), F.ceil(pos).alias("_high")
-    )
+    """Running sums per key in the order of ``value``, which is unique per key, over ranges of that order."""
+    order = [F.desc(value) if descending else F.asc(value)]
+    return prefix_scan(in_ranges(table, keys, order, label), keys, order, {n: ("sum", e) for n, e in sums.items()}).drop("_chunk")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bins: int = 64
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], accuracy: int = 10_000) -> DataFrame:
     """Exact quantiles with linear interpolation for values of any domain, plus ``count``.
 
+    A sketch per key gives a band of values around each rank, five times as wide as its
+    error bound. A second pass counts what lies between the bands and keeps distinct values
+    only inside them, about a thousandth of the rows per quantile; the ranks are then exact. The
+    source is scanned twice and never written. A rank outside its band would be an
+    error of the sketch and is raised.
+
     Where the domain is known to be small (whole days, scores in percent) the built-in
     ``percentile`` needs one pass less; its buffer holds the distinct values of a group.
     """
-    names = list(probs)
-    counts = value_counts(df, keys, value, bins)
-    targets = _targets(counts, keys, [probs[n] for n in names])
-    hit = counts.join(targets, list(keys)) if keys else counts.crossJoin(F.broadcast(targets))  # one row per prob
-    inside = lambda rank: (F.col("cum") - F.col("n") <= F.col(rank)) & (F.col("cum") > F.col(rank))
-    picked = (
-        hit.filter(inside("_low") | inside("_high"))
-        .groupBy(*keys, "_i")
-        .agg(
-            F.first("count").alias("count"),
-            F.first("_pos").alias("_pos"),
-            F.first("_low").alias("_low"),
-            F.max(F.when(inside("_low"), F.col("value"))).alias("_a"),
-            F.max(F.when(inside("_high"), F.col("value"))).alias("_b"),
-        )
-    )
-    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.col("_low"))
-    return picked.groupBy(*keys).agg(
-        F.first("count").alias("count"),
-        *[F.max(F.when(F.col("_i") == i, value_at)).cast("double").alias(n) for i, n in enumerate(names)],
-    )
+    names, widths = list(probs), (5 / accuracy, LOOSE_BAND)
+    places = range(len(names))
+    source = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
+    edges = [min(max(probs[n] + sign * w, 0.0), 1.0) for n in names for w in widths for sign in (-1, 1)]
+    sketch = source.groupBy(*keys).agg(F.percentile_approx("value", edges, accuracy).alias("_e"), F.count("*").alias("count"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+
+    def edge(i: int, upper: int) -> Column:
+        """Of the narrowest band that has some rows on both sides of the rank; all values of a small key."""
+        picked = [F.when(F.col("count") * w >= 3, F.col("_e")[4 * i + 2 * j + upper]) for j, w in enumerate(widths)]
+        return F.coalesce(*picked, F.col("_max" if upper else "_min"))
+
+    bands = sketch.select(*keys, "count", *[edge(i, u).alias(f"_{side}{i}") for i in places for u, side in enumerate(("lo", "hi"))])
+    bands = settle(bands, "bands")
+    small = bands.count() <= BROADCAST_KEYS  # one row per key
+    banded = source.join(F.broadcast(bands) if small else bands, list(keys)) if keys else source.crossJoin(F.broadcast(bands))
+    inside_any = reduce(Column.__or__, [F.col("value").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in places])
+    passed = reduce(Column.__add__, [(F.col("value") > F.col(f"_hi{i}")).cast("int") for i in places])
+    # rows between the same two bands are one group, rows in a band one group per value
+    groups = banded.groupBy(*keys, "count", F.when(inside_any, F.col("value")).alias("_v"), F.when(~inside_any, passed).alias("_gap")).agg(F.count("*").alias("n"), F.min("value").alias("_least"))
+    run = groups.withColumn("cum", F.sum("n").over(Window.partitionBy(*keys).orderBy("_least")))
+    at = lambda rank: F.max(F.when((F.col("cum") - F.col("n") <= rank) & (F.col("cum") > rank), F.col("_v")))
+    pos = {n: F.lit(float(probs[n])) * (F.col("count") - 1) for n in names}
+    picked = run.groupBy(*keys, "count").agg(*[at(f(pos[n])).alias(f"_{side}_{n}") for n in names for side, f in (("a", F.floor), ("b", F.ceil))])
+
+    def exact(n: str) -> Column:
+        a, b = F.col(f"_a_{n}").cast("double"), F.col(f"_b_{n}").cast("double")
+        missed = F.raise_error(F.lit(f"rank of {n} outside its band")).cast("double")
+        return F.when(a.isNull() | b.isNull(), missed).otherwise(a + (b - a) * (pos[n] - F.floor(pos[n]))).alias(n)
+
+    return picked.select(*keys, "count", *[exact(n) for n in names])
 
 
 def leave_one_out_quantiles(
-    df: DataFrame, entity: str, value: str, probs: Mapping[str, float], buckets: int = 1024, bins: int = 64, weight: str | None = None
+    df: DataFrame, entity: str, value: str, probs: Mapping[str, float], buckets: int = 1024, weight: str | None = None
 ) -> DataFrame:
     """For each entity, quantiles over the rows of all *other* entities, without pairing them.
 
@@ -182,15 +175,16 @@ def leave_one_out_quantiles(
     counts of all rows and of the entity's own rows, the k-th smallest foreign value is the
     first v with G(v) >= k + E', where E' counts the own rows before the first own value at
     which G - E reaches k. Those positions are then looked up in G by an equi join on
-    count buckets. ``weight`` names a column with the count a row stands for.
+    count buckets. Steps and ranks of an entity are met in one ordered scan over
+    ranges. ``weight`` names a column with the count a row stands for.
     """
     names = list(probs)
     size = F.sum(weight) if weight else F.count("*")
     counts = df.filter(F.col(value).isNotNull()).groupBy(entity, F.col(value).alias("value")).agg(size.alias("n"))
     counts = settle(counts, "counts")  # the rows themselves are read once
     cum = {"cum": F.col("n")}
-    own = ordered_totals(counts, [entity], "value", cum, bins).select(entity, "value", F.col("n").alias("own_n"), F.col("cum").alias("own_cum"))
-    world = ordered_totals(counts.groupBy("value").agg(F.sum("n").alias("n")), [], "value", cum, bins)
+    own = ordered_totals(counts, [entity], "value", cum).select(entity, "value", F.col("n").alias("own_n"), F.col("cum").alias("own_cum"))
+    world = ordered_totals(counts.groupBy("value").agg(F.sum("n").alias("n")), [], "value", cum)
     world = world.select("value", F.col("n").alias("all_n"), F.col("cum").alias("all_cum"))
     total = counts.agg(F.sum("n").alias("_total"))
     sizes = own.groupBy(entity).agg(F.sum("own_n").alias("own_total"))
@@ -204,12 +198,15 @@ def leave_one_out_quantiles(
         .withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_pos") + 1, F.ceil("_pos") + 1))))
     )
     steps = own.join(world, "value").select(
-        F.col(entity).alias("_e"), (F.col("all_cum") - F.col("own_cum")).alias("_reach"), (F.col("own_cum") - F.col("own_n")).alias("_before")
+        F.col(entity), (F.col("all_cum") - F.col("own_cum")).alias("_reach"), (F.col("own_cum") - F.col("own_n")).alias("_before")
     )
+    # the first step that reaches k: downwards in reach, the least count so far (a step stands before the ranks it just reaches)
+    down = [F.desc("_reach"), F.asc_nulls_last("_before")]
+    merged = in_ranges(ranks.withColumn("_reach", F.col("_k")).unionByName(steps, allowMissingColumns=True), [entity], down, "ranks")
     placed = (
-        ranks.join(steps, (F.col(entity) == F.col("_e")) & (F.col("_reach") >= F.col("_k")), "left")
-        .groupBy(entity, "own_total", "count", "_total", "_i", "_pos", "_k")
-        .agg(F.min("_before").alias("_before"))
+        prefix_scan(merged, [entity], down, {"_first": ("min", F.col("_before"))})
+        .filter("_k IS NOT NULL")
+        .select(entity, "own_total", "count", "_total", "_i", "_pos", "_k", F.col("_first").alias("_before"))
         .withColumn("_at", F.col("_k") + F.coalesce("_before", "own_total"))
         .withColumn("_bucket", F.floor(F.col("_at") * buckets / F.col("_total")))
     )
