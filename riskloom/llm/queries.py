@@ -86,17 +86,24 @@ _BASE = {label: f"w[k : k + {len(p.split()) - 1}] = {p.split()!r}" for p, label
 @query(
     "op1_license_scan",
     f"""
-    WITH d AS (SELECT doc_id, {_WORDS} AS w, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text FROM documents),
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text FROM documents),
     places AS (SELECT doc_id, k - 1 AS pos, CASE {" ".join(f"WHEN {c} THEN '{label}'" for label, c in _BASE.items())} END AS label
                FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
     base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places WHERE label IS NOT NULL GROUP BY doc_id),
     t AS (SELECT row_number() OVER () AS number, label, list_distinct(string_split(words, ' ')) AS own FROM (VALUES {_TEMPLATES}) AS v(label, words)),
-    sentences AS (SELECT doc_id, unnest(string_split_regex(lower_text, '[.!?][ \\n]|\\n')) AS s FROM d),
+    sentences AS (SELECT doc_id, unnest(string_split_regex(lower_text, '[.!?][ \\r\\n]|\\n[\\t\\x0B-\\r ]*\\n')) AS s FROM d),
     sw AS (SELECT doc_id, row_number() OVER () AS sentence, regexp_extract_all(s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM sentences),
     blocks AS (SELECT doc_id, sentence, k, list_distinct(w[k : k + 63]) AS b FROM (SELECT *, unnest(range(1, greatest(len(w) - 32, 1) + 1, 32)) AS k FROM sw WHERE len(w) > 0)),
-    pairs AS (SELECT doc_id, sentence, k, label, len(list_intersect(b, own)) AS shared, len(own) AS n FROM blocks, t),
-    top AS (SELECT *, max(shared * 1000 - n) OVER (PARTITION BY doc_id, sentence, k) AS most FROM pairs WHERE shared >= ceil(round(0.8 * n, 9))),
-    found AS (SELECT doc_id, label, shared / n AS score FROM top WHERE shared * 1000 - n = most),
+    matched AS (SELECT doc_id, sentence, k, number, label, own, list_intersect(b, own) AS mine FROM blocks, t WHERE len(list_intersect(b, own)) >= ceil(round(0.8 * len(own), 9))),
+    state AS (SELECT doc_id, sentence, k, []::VARCHAR[] AS known, list({{'label': label, 'own': own, 'mine': mine}}) AS rest, []::STRUCT(label VARCHAR, own VARCHAR[], mine VARCHAR[])[] AS won
+              FROM matched GROUP BY doc_id, sentence, k
+              UNION ALL
+              SELECT doc_id, sentence, k, list_distinct(known || flatten(list_transform(best, lambda x: x.own))), list_filter(rest, lambda x: NOT list_contains(best, x)), best FROM (
+                SELECT *, list_transform(list_filter(able, lambda x: x.new * 1000 - len(x.t.own) = list_max(list_transform(able, lambda y: y.new * 1000 - len(y.t.own)))), lambda x: x.t) AS best FROM (
+                  SELECT *, list_filter(list_transform(rest, lambda x: {{'new': len(list_filter(x.mine, lambda m: NOT list_contains(known, m))), 'of': len(list_filter(x.own, lambda m: NOT list_contains(known, m))), 't': x}}),
+                                        lambda x: x.new > 0 AND x.new >= ceil(round(0.8 * x.of, 9))) AS able FROM state WHERE len(rest) > 0)
+                WHERE len(able) > 0)),
+    found AS (SELECT doc_id, x.label AS label, len(x.mine) / len(x.own) AS score FROM (SELECT doc_id, unnest(won) AS x FROM state)),
     every AS (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM places WHERE label IS NOT NULL),
     named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
     based AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places WHERE label IS NOT NULL) GROUP BY doc_id),

@@ -58,7 +58,8 @@ EXTRA_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("google_api", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # starts only where a run of its characters does, so a long run is read once
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("url_password", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,256}:[^\s/:@]{1,256}@[A-Za-z0-9.-]+"),
 )
 RULES = BASE_RULES + EXTRA_RULES

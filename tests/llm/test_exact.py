@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -31,21 +32,41 @@ def documents(spark):
 # license scans
 
 
+def license_blocks(text):
+    """Sets of words: 64 at a time, every 32, inside what sentence ends and blank lines part."""
+    for part in re.split(r"[.!?][ \r\n]|\n[\t\x0B-\r ]*\n", (text or "").translate(UPPER)):
+        w = WORDS.findall(part)
+        for s in range(0, max(len(w) - 32, 1), 32) if w else ():
+            yield set(w[s : s + 64])
+
+
+def license_choice(block):
+    """Named templates: most words that no named one holds, of these the shortest, ties all."""
+    rest = [(label, set(t.split())) for label, t in license_scan.TEMPLATES]
+    rest = [(x, t) for x, t in rest if len(t & block) >= license_scan.needed(len(t))]
+    known, kept = set(), []
+    while True:
+        able = [(len((t & block) - known), -len(t), x, t) for x, t in rest]
+        able = [a for a in able if a[0] > 0 and a[0] >= license_scan.needed(len(a[3] - known))]
+        if not able:
+            return kept
+        top = max(a[:2] for a in able)
+        won = [(x, t) for n, m, x, t in able if (n, m) == top]
+        kept += [(x, len(t & block) / len(t)) for x, t in won]
+        known |= set().union(*[t for _, t in won])
+        rest = [r for r in rest if r not in won]
+
+
 def license_brute(text):
     words, base = plain(text), []
     for phrase, label in license_scan.PHRASES.items():
         p = phrase.split()
         base += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     labels, score = {x for _, x in base}, 0.0
-    for sentence in re.split(r"[.!?][ \n]|\n", (text or "").translate(UPPER)):
-        w = WORDS.findall(sentence)
-        for s in range(0, max(len(w) - 32, 1), 32) if w else ():
-            block = set(w[s : s + 64])
-            got = [(len(block & set(t.split())), len(set(t.split())), x) for x, t in license_scan.TEMPLATES]
-            got = [g for g in got if g[0] >= license_scan.needed(g[1])]
-            top = max(((n, -m) for n, m, _ in got), default=None)
-            labels |= {x for n, m, x in got if (n, -m) == top}
-            score = max([score, *[n / m for n, m, _ in got if (n, -m) == top]])
+    for block in license_blocks(text):
+        for label, share in license_choice(block):
+            labels.add(label)
+            score = max(score, share)
     places = [i for i, _ in base]
     return (len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), 1.0 if base else score)
 
@@ -61,8 +82,32 @@ LICENSES = [
 ]
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+WRAPPED_TEXTS = [
+    f(t)
+    for t in WRAPPED.values()
+    for f in (str, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n * " + t.replace("\n", "\n * "), lambda t: f"Title\nCopyright (c) 2020 Someone\n\n{t}\n")
+] + [WRAPPED["isc"].replace("\n", gap) for gap in ("\n\n", "\r\n \r\n", ".\n", ".\r\n")]
+GNU = "GNU {}General Public License version {}"
+TWO_LICENSES = {
+    "Licensed under the GNU Lesser General Public License version 3 or the Mozilla Public License version 2.0": "lgpl-3,mpl-2",
+    f"Licensed under the {GNU.format('', 2)} or the {GNU.format('Lesser ', 3)}": "gpl-2,lgpl-3",
+    f"Licensed under the {GNU.format('Lesser ', 3)} or the {GNU.format('Affero ', 3)}": "agpl-3,lgpl-3",
+    f"Licensed under the {GNU.format('', 2)} or version 3": "gpl-2,gpl-3",
+    "Licensed under the Apache License, Version 2.0 or the Mozilla Public License, Version 2.0": "apache-2,mpl-2",
+    "Licensed under the Eclipse Public License, Version 2.0, made public": "epl-2",
+    "This public text is licensed under the Apache License, Version 2.0": "apache-2",
+    f"Licensed under the {GNU.format('', 3)}": "gpl-3",
+    f"Licensed under the {GNU.format('Affero ', 3)}": "agpl-3",
+}
+
+
 def test_license_scan(spark):
-    docs = odd_documents(spark, LICENSES)
+    docs = odd_documents(spark, LICENSES + WRAPPED_TEXTS + list(TWO_LICENSES))
     got = license_scan.scan_licenses(docs)
     columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert rows(got, "doc_id", *columns) == sorted(((d, *license_brute(t)) for d, t in pairs(docs)), key=repr)
@@ -71,35 +116,16 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(no_documents(spark)).count() == 0
 
 
-WRAPPED = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
-    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
-}
-
-
 def test_license_scan_of_wrapped_notices(spark):
     """Line ends of all kinds and comment marks; a blank line and a sentence end still part."""
-    texts = [f(t) for t in WRAPPED.values() for f in (str, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n * " + t.replace("\n", "\n * "), lambda t: f"Title\nCopyright (c) 2020 Someone\n\n{t}\n")]
-    texts += [WRAPPED["isc"].replace("\n", gap) for gap in ("\n\n", "\r\n \r\n", ".\n", ".\r\n")]
+    texts = WRAPPED_TEXTS
     got = {r["doc_id"]: (r["labels"], r["score"] > 0) for r in license_scan.scan_licenses(odd_documents(spark, texts)).collect()}
     assert [got[100 + i] for i in range(len(texts))] == [(label, True) for label in WRAPPED for _ in range(4)] + [("", False)] * 4
 
 
 def test_license_scan_of_two_licences_in_one_block(spark):
     """A match goes only if others explain what tells it apart."""
-    gnu = "GNU {}General Public License version {}"
-    texts = {
-        "Licensed under the GNU Lesser General Public License version 3 or the Mozilla Public License version 2.0": "lgpl-3,mpl-2",
-        f"Licensed under the {gnu.format('', 2)} or the {gnu.format('Lesser ', 3)}": "gpl-2,lgpl-3",
-        f"Licensed under the {gnu.format('Lesser ', 3)} or the {gnu.format('Affero ', 3)}": "agpl-3,lgpl-3",
-        f"Licensed under the {gnu.format('', 2)} or version 3": "gpl-2,gpl-3",
-        "Licensed under the Apache License, Version 2.0 or the Mozilla Public License, Version 2.0": "apache-2,mpl-2",
-        "Licensed under the Eclipse Public License, Version 2.0, made public": "epl-2",
-        "This public text is licensed under the Apache License, Version 2.0": "apache-2",
-        f"Licensed under the {gnu.format('', 3)}": "gpl-3",
-        f"Licensed under the {gnu.format('Affero ', 3)}": "agpl-3",
-    }
+    texts = TWO_LICENSES
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(odd_documents(spark, texts)).collect()}
     assert [got[100 + i] for i in range(len(texts))] == [(labels, 1.0) for labels in texts.values()]
     twins = license_scan.scan_licenses(odd_documents(spark, ["a b c d e", "a b c d"]), phrases={"zz": "zz"}, templates=[("x", "a b c d e"), ("y", "e d c b a")])
@@ -437,6 +463,28 @@ def test_secret_scan(spark):
     assert {d: t for d, t in pairs(clean) if d in untouched} == untouched
 
 
+HEADS = ["eyJ", "eyJaaaaaaaa.", "-----BEGIN ", "token", "token ", "api_key:", "AKIA", "ghp_", "xoxb-", "sk_live_", "AIza", "a://", "a://b:", "a", "a.", "deadbeef", "PRIVATE KEY", "="]
+
+
+@pytest.mark.parametrize("head", HEADS)
+def test_every_rule_reads_a_long_text_in_linear_time(head):
+    """5 MB of one head, and 5 MB of what may follow it."""
+    for text in (head * (5_000_000 // len(head)), head + "A" * 5_000_000, head + " " * 5_000_000):
+        for rule in secrets.RULES:
+            start = time.process_time()
+            secrets.rule_matches(text, rule, rule.compiled())
+            assert time.process_time() - start < 20, rule.kind
+
+
+def test_jwt_of_any_length():
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    token = "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + ".c"
+    assert secrets.rule_matches(f"x {token},{token}", rule, rule.compiled()) == [(2, 2 + len(token)), (3 + len(token), 3 + 2 * len(token))]
+    assert secrets.rule_matches("x" + token, rule, rule.compiled()) == []
+    long = "eyJ" + "eyJ" * 200_000 + ".eyJ" + "b" * 9 + ".c"
+    assert secrets.rule_matches(long, rule, rule.compiled()) == [(0, len(long))]
+
+
 def test_trigram_queries():
     by_kind = {r.kind: secrets.trigram_query(r) for r in secrets.RULES}
     assert not by_kind["hex"]  # no mandatory trigram: scans every row
@@ -449,3 +497,17 @@ def test_trigram_queries():
             if rule.compiled().search(text):
                 lowered = text.lower()
                 assert all(any(all(t in lowered for t in alternative) for alternative in clause) for clause in by_kind[rule.kind])
+
+
+def test_license_sql_on_wrapped_notices_and_several_licences(spark):
+    """The registered SQL says the same as the operator where the test tables hold no such text."""
+    import duckdb
+
+    from riskloom.llm.queries import SQL
+
+    docs = odd_documents(spark, LICENSES + WRAPPED_TEXTS + list(TWO_LICENSES)).dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL AND NOT contains(text, char(0))")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({SQL['op1_license_scan']})").fetchall()
+    assert rows(license_scan.scan_licenses(docs), *columns) == sorted(want, key=repr)
