@@ -157,15 +157,23 @@ def running_id(df: DataFrame, keys: Sequence[str], count: str, name: str, day: s
 def peer_percentile(df: DataFrame, project: str, member: str, day: str = "day", window: int = 30) -> DataFrame:
     """Rank of each member's trailing count among all members active then, ties averaged.
 
-    Daily counts spread over the days they reach, then each day's members are counted per
-    count value, so the ranking runs over distinct counts and not over members.
+    A member's trailing count changes only on a day with events and when they leave the window, so
+    there are two change points per member and day with events. Each moves the member from one
+    count to another; these moves, added up per count, give the number of members at every
+    count and day, and the ranking runs over distinct counts and not over members.
     """
     daily = df.groupBy(project, member, day).agg(F.count("*").alias("_n"))
-    reach = daily.select(
-        project, member, F.explode(F.sequence(F.col(day), F.date_add(day, window))).alias("_on"), "_n"
-    )
-    trailing = reach.groupBy(project, F.col("_on").alias(day), member).agg(F.sum("_n").alias("own_count"))
-    spread = trailing.groupBy(project, day, "own_count").agg(F.count("*").alias("_members"))
+    enter = daily.select(project, member, day, "_n", F.lit(True).alias("_active"))
+    leave = daily.select(project, member, F.date_add(day, window + 1).alias(day), (-F.col("_n")).alias("_n"), F.lit(False).alias("_active"))
+    points = enter.unionByName(leave).groupBy(project, member, day).agg(F.sum("_n").alias("_n"), F.max("_active").alias("_active"))
+    points = points.withColumn("own_count", F.sum("_n").over(by_day([project, member], day)))
+
+    move = lambda count, by: F.struct(count.alias("own_count"), F.lit(by).alias("by"))
+    moves = points.select(project, day, F.inline(F.array(move(F.col("own_count"), 1), move(F.col("own_count") - F.col("_n"), -1))))
+    moves = moves.filter("own_count > 0").groupBy(project, "own_count", day).agg(F.sum("by").alias("_by")).filter("_by <> 0")
+    of_count = by_day([project, "own_count"], day)
+    levels = moves.withColumns({"_members": F.sum("_by").over(of_count), "_until": F.lead(day).over(of_count)}).filter("_members > 0")
+    spread = levels.select(project, "own_count", "_members", F.explode(F.sequence(F.col(day), F.date_sub("_until", 1))).alias(day))
     w = Window.partitionBy(project, day)
     ranked = spread.withColumns(
         {
@@ -174,7 +182,7 @@ def peer_percentile(df: DataFrame, project: str, member: str, day: str = "day",
         }
     )
     share = (F.col("_below") * 2 + F.col("_members") + 1) / (F.col("peers") * 2)
-    active = trailing.join(daily.select(project, member, day), [project, member, day], "left_semi")
+    active = points.filter("_active").select(project, day, member, "own_count")
     return active.join(ranked.select(project, day, "own_count", "peers", share.alias("percentile")), [project, day, "own_count"])
 
 
