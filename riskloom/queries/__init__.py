@@ -11,5 +11,6 @@ from riskloom.queries import (  # noqa: F401
     q_j_history,
     q_k_learning,
     q_l_plans,
+    q_m_tables,
 )
 from riskloom.queries.registry import QUERIES, SQL  # noqa: F401
