@@ -26,7 +26,7 @@ from riskloom.learning.sampling import seeded_hash
 MOST_ROWS = 4096  # labelled training rows of a class in a set
 UNIT = 125  # trees that grow together
 PART_UNITS = 6  # units of a task
-BATCH = 4096  # test rows that are scored together
+BATCH = 10_000  # test rows that are scored together; equal bins are scored once
 
 # Settings of the two tree models.
 FOREST = {"trees": 1500, "candidates": "sqrt", "bootstrap": True}
@@ -141,12 +141,16 @@ class _Part:
 
     def scores(self, x: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
         """(fit, sum over this part's trees of the value each row meets)."""
+        binned: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
         for fit, own, cuts, blocks in self.models:
-            distinct, back = np.unique(trees.to_bins(x[:, own], cuts), axis=0, return_inverse=True)
+            if tuple(own) not in binned:  # cuts depend on the set and the features only
+                distinct, back = np.unique(trees.to_bins(x[:, own], cuts), axis=0, return_inverse=True)
+                binned[tuple(own)] = distinct, back.ravel()
+            distinct, back = binned[tuple(own)]
             total = np.zeros(len(distinct))
             for block in blocks:
                 total += block.leaves(distinct).sum(axis=0)
-            yield fit, total[back.ravel()]
+            yield fit, total[back]
 
 
 _OUT = "set string, fit string, row_id long, feature int, value double"
