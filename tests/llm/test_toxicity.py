@@ -1,12 +1,13 @@
 """The toxicity model: held-out accuracy, located sentences and odd inputs."""
 
+import math
 import random
 import zlib
 
 import pytest
 
 from riskloom.llm import toxicity
-from tests.llm.cases import no_documents, odd_documents, rows
+from tests.llm.cases import no_documents, odd_documents, pairs, rows
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -89,3 +90,76 @@ def test_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda sample: seen.extend(sample) or toxicity.Model({}, 0.0))
     toxicity.train(docs, labels, sample_bytes=5_000)
     assert 0 < len(seen) == len({t.split()[1] for t, _ in seen}) and sum(len(t) for t, _ in seen) <= 5_000
+
+
+# plain twins of scoring and of the gradient
+
+
+def plain_sentences(text):
+    """(start, end, words) in bytes, one character at a time."""
+    out, start, raw = [], 0, text.encode("utf-8", "surrogatepass")
+    for i, c in enumerate(raw + b"\n"):
+        if i == len(raw) or chr(c) in {chr(x) for x in range(128) if toxicity.SENTENCE_TABLE[x] == 0x0A}:
+            words, word = [], b""
+            for b in raw[start:i] + b" ":
+                if b >= 128 or chr(b).isalnum():
+                    word += bytes([b]).lower()
+                elif word:
+                    words.append(word)
+                    word = b""
+            out.append((start, i, words))
+            start = i + 1
+    return out
+
+
+def plain_features(words):
+    return {w + b" " for w in words} | {w[:n] for w in words for n in (4, 5, 6, 7, 8) if len(w) >= n}
+
+
+def plain_score(text, weights, bias):
+    """1 less the product over sentences with a weighted feature of the chance to be clean."""
+    clean, located = 1.0, []
+    for number, (start, end, words) in enumerate(plain_sentences(text or "")):
+        found = [weights[f] for f in plain_features(words) if f in weights]
+        if found:
+            p = 1 / (1 + math.exp(-(bias + sum(found))))
+            clean *= 1 - p
+            if p >= toxicity.OFFENDING:
+                located.append((number, start, end))
+    return 1 - clean, located
+
+
+def test_scores_equal_a_plain_loop(spark):
+    weights = {b"fool ": 3.0, b"idio": 2.5, b"rubbish": 1.5, "idiôt".encode()[:5]: 0.7, b"the ": -0.4, b"word": -1.0, b"9999": 4.0}
+    texts = ["You FOOL! The idiots\nare rubbishy. Idiotic fool?", "the the the", "fool" * 50 + ". fool", "idiôté fool\x00idio", "9999 fool. 99999! no", "...\n\n!?"]
+    docs = odd_documents(spark, texts)
+    model = toxicity.Model(weights, -1.0)
+    got = toxicity.score(docs, model).collect()
+    want = sorted(((d, plain_score(t, weights, -1.0)) for d, t in pairs(docs)), key=repr)
+    have = sorted(((r["doc_id"], (r["score"], [(o["sentence"], o["start"], o["end"]) for o in r["offending"]])) for r in got), key=repr)
+    for (d, (s, places)), (e, (z, spots)) in zip(sorted(want, key=lambda x: repr(x[0])), sorted(have, key=lambda x: repr(x[0]))):
+        assert d == e and z == pytest.approx(s, abs=1e-12) and spots == places
+    assert any(places for _, (_, places) in want)
+
+
+def test_the_first_step_follows_the_gradient():
+    """The optimiser's first step is ``rate`` against the sign of each slope, here of finite differences of a plain loss."""
+    rows = [(b"bad fool here. nice day", 1), (b"fool again", 1), (b"nice day. good word", 0), (b"good fool. nice", 0), (b"bad words", 1), (b"day word", 0)]
+    model = toxicity.fit(rows, least_docs=1, lift=0.0, steps=1, rate=0.1)
+    names = sorted(toxicity.screened(rows, 1, 0.0))
+
+    def loss(weights, bias):
+        total = 0.0
+        for text, y in rows:
+            score, _ = plain_score(text.decode(), weights, bias)
+            total -= math.log(max(score if y else 1 - score, 1e-12))
+        return total / len(rows)
+
+    zero, e = dict.fromkeys(names, 0.0), 1e-5
+    assert set(model.weights) <= set(names) and len(model.weights) > 10
+    for f in names:
+        slope = (loss({**zero, f: e}, -2.0) - loss({**zero, f: -e}, -2.0)) / (2 * e)
+        if abs(slope) > 1e-7:
+            assert model.weights[f] == pytest.approx(-0.1 * math.copysign(1, slope), rel=1e-3)
+    slope = (loss(zero, -2.0 + e) - loss(zero, -2.0 - e)) / (2 * e)
+    assert model.bias == pytest.approx(-2.0 - 0.1 * math.copysign(1, slope), rel=1e-3)
