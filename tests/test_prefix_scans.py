@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import history as hs
 from riskloom.operators import joins as jn
 from riskloom.operators import scans as sc
+from riskloom.operators import windows as wn
 from riskloom.plans import attribution as at
 
 
@@ -139,3 +140,29 @@ def test_attribution_with_most_events_in_one_project(spark, many_partitions):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert cut == whole and len(cut) == 2000
+
+
+def test_peer_percentile_of_many_members(spark):
+    """Against counts per day: one project with most members, windows that close and open again."""
+    import datetime as dt
+
+    rng, start, window = random.Random(9), dt.date(2024, 1, 1), 5
+    events = [("hot" if rng.random() < 0.9 else "cold", f"m{int(rng.random() ** 2 * 60)}", start + dt.timedelta(days=int(rng.random() * 40))) for _ in range(900)]
+    got = {(r["p"], r["m"], r["day"]): (r["own_count"], r["peers"], r["percentile"]) for r in wn.peer_percentile(spark.createDataFrame(events, "p string, m string, day date"), "p", "m", window=window).collect()}
+    assert set(got) == set(events)
+    for (p, m, day), (own, peers, share) in got.items():
+        counts = {}
+        for q, other, d in events:
+            if q == p and 0 <= (day - d).days <= window:
+                counts[other] = counts.get(other, 0) + 1
+        below, equal = sum(c < counts[m] for c in counts.values()), sum(c == counts[m] for c in counts.values())
+        assert (own, peers) == (counts[m], len(counts)) and share == pytest.approx((below + (equal + 1) / 2) / len(counts))
+
+
+def test_peer_percentile_copies_no_row_per_day(spark):
+    """A window of a thousand days makes no more rows than one of a day: two change points per daily row."""
+    events = spark.range(2000).selectExpr("'p' AS p", "id % 500 AS m", "date_add(DATE '2024-01-01', CAST(id % 7 AS INT)) AS day")
+    plan = wn.peer_percentile(events, "p", "m", window=1000)
+    assert plan.count() == events.distinct().count()
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(day" in text and text.count("explode(sequence(") == 1  # only (count, level) intervals are spread over days
