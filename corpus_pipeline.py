@@ -16,7 +16,11 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
+    """Documents whose toxicity score is below the threshold.
+
+    Rows are judged one by one: repeated rows and null ids stay or go by their own text, null and
+    empty texts score 0 and stay.
+    """
     return toxicity.keep_civil(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
@@ -31,7 +35,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which fewer than one word in twenty lies in a benchmark window."""
+    """Documents of which fewer than one word in twenty lies in a benchmark window.
+
+    Ids are taken as keys here: rows that share an id, or a null id, go together if one of them is
+    contaminated. Null and empty texts have no words and stay.
+    """
     hits = decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark"))
     bad = decontaminate.contamination_report(hits).filter("contaminated").select("doc_id")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
@@ -44,7 +52,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place."""
+    """Token pieces with their sequence and place.
+
+    Repeated rows and rows with a null id are packed each by themselves; a null or empty text is
+    the end token alone.
+    """
     return packing.pack_documents(docs, TOKENIZER)
 
 
