@@ -64,24 +64,25 @@ def predict(df: DataFrame, model: DataFrame, features: Sequence[str], name: str)
     return scored.withColumn(name, linear_score(features)).drop("coefficients")
 
 
-def leave_one_out_models(df: DataFrame, entity: str, features: Sequence[str], target: str) -> DataFrame:
+def leave_one_out_models(df: DataFrame, entity: str, features: Sequence[str], target: str, within: Sequence[str] = ()) -> DataFrame:
     """Coefficients per entity, fitted on all other entities as total minus own moments.
 
-    A single entity has no others and falls back to its own fit, with 0 training entities.
+    With ``within`` every value of those columns has models of its own. A single entity has
+    no others and falls back to its own fit, with 0 training entities.
     """
-    own = moments(df, [entity], features, target)
+    own = moments(df, [*within, entity], features, target)
     size = len(_moment_names(len(features) + 2))
-    total = own.agg(*[F.sum(F.col("moments")[i]).alias(f"_t{i}") for i in range(size)], F.count("*").alias("_entities"))
-    both = own.crossJoin(F.broadcast(total))  # total: one row
+    total = own.groupBy(*within).agg(*[F.sum(F.col("moments")[i]).alias(f"_t{i}") for i in range(size)], F.count("*").alias("_entities"))
+    both = own.join(total, list(within)) if within else own.crossJoin(F.broadcast(total))  # total: one row
     rest = F.array(*[F.col(f"_t{i}") - F.col("moments")[i] for i in range(size)])
     chosen = F.when(F.col("_entities") > 1, rest).otherwise(F.col("moments"))
-    left = both.select(entity, chosen.alias("moments"), (F.col("_entities") - 1).alias("training_entities"))
+    left = both.select(*within, entity, chosen.alias("moments"), (F.col("_entities") - 1).alias("training_entities"))
     return solve_moments(left, len(features))
 
 
-def leave_one_out_predictions(df: DataFrame, entity: str, features: Sequence[str], target: str, name: str) -> DataFrame:
-    models = leave_one_out_models(df, entity, features, target)
-    return df.join(models, entity).withColumn(name, linear_score(features)).drop("coefficients")
+def leave_one_out_predictions(df: DataFrame, entity: str, features: Sequence[str], target: str, name: str, within: Sequence[str] = ()) -> DataFrame:
+    models = leave_one_out_models(df, entity, features, target, within)
+    return df.join(models, [*within, entity]).withColumn(name, linear_score(features)).drop("coefficients")
 
 
 def entity_split(df: DataFrame, entity: str, test_fraction: float, seed: int) -> DataFrame:

@@ -56,7 +56,7 @@ def lag_and_delta(df: DataFrame, entity: str, value: str, lag: int, day: str = "
     return df.withColumns({f"{value}_lag": prev, f"{value}_delta": prev - before})
 
 
-def expanding_median(df: DataFrame, entity: str, value: str, qualifies: Column, name: str, day: str = "day") -> DataFrame:
+def expanding_median(df: DataFrame, entity: str | Sequence[str], value: str, qualifies: Column, name: str, day: str = "day") -> DataFrame:
     """Exact median of earlier qualifying rows; null before the first of them."""
     frame = by_day(entity, day).rowsBetween(UNBOUNDED, -1)
     return df.withColumn(name, F.percentile(F.when(qualifies, F.col(value)), F.lit(0.5)).over(frame))

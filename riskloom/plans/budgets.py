@@ -75,22 +75,45 @@ def _flagged(labelled: DataFrame, mode: str, need_fold: bool = True) -> DataFram
     return days
 
 
-def median_budget(labelled: DataFrame, detections: DataFrame, rates: DataFrame, mode: str = "per_project") -> DataFrame:
-    """ceil(median) for each flagged day of a project with a positive rate."""
-    days = with_duration_statistics(_flagged(labelled, mode), detection_units(detections, rates), mode)
+def scheduled_by_median(days: DataFrame, mode: str) -> DataFrame:
+    """ceil(median) for days that carry their duration statistics."""
     out = days.withColumn("scheduled", F.ceil("median").cast("bigint"))
     return out.filter("rate > 0 AND scheduled > 0").withColumns({"strategy": F.lit("median"), "strategy_mode": F.lit(mode)})
 
 
-def iqr_budget(labelled: DataFrame, detections: DataFrame, rates: DataFrame, mode: str = "per_project", seed: int = 42) -> DataFrame:
-    """A draw between the quartiles for each flagged day, fixed by project, fold, day and seed."""
-    days = with_duration_statistics(_flagged(labelled, mode), detection_units(detections, rates), mode)
+def scheduled_by_draw(days: DataFrame, mode: str, seed: int = 42) -> DataFrame:
+    """A draw between the quartiles for days that carry their duration statistics."""
     fold = F.col("fold") if mode == "per_project" else F.lit(None)
     draw = F.col("q1") + nm.keyed_uniform(seed, "project", fold, "day_index") * (F.col("q3") - F.col("q1"))
     out = days.withColumn("sampled", draw).withColumn("scheduled", F.ceil("sampled").cast("bigint"))
     return out.filter("scheduled > 0").withColumns({"strategy": F.lit("iqr"), "strategy_mode": F.lit(mode)})
 
 
+def scheduled_by_churn(days: DataFrame, mode: str, churn: str = "churn", scaling: float = 1.0, cap: float | None = None, rounding: str = "ceil") -> DataFrame:
+    """Median times the churn weight for days that carry their statistics and ``past_churn``."""
+    base = F.lit(max(scaling, 0.0)) * F.col("median")
+    weight = nm.churn_weight(churn, "past_churn", cap)
+    out = days.withColumns({"budget_base": base, "weight": weight}).withColumn("expected", F.col("budget_base") * F.col("weight"))
+    out = out.withColumns(
+        {
+            "scheduled": nm.rounded("expected", rounding),
+            "no_past_churn": F.coalesce(F.col("past_churn") <= 0, F.lit(True)),
+            "budget_target": F.bround("budget_base", 0).cast("bigint"),
+        }
+    )
+    return out.filter("budget_base > 0 AND scheduled > 0").withColumns({"strategy": F.lit("churn"), "strategy_mode": F.lit(mode)})
+
+
+def median_budget(labelled: DataFrame, detections: DataFrame, rates: DataFrame, mode: str = "per_project") -> DataFrame:
+    """ceil(median) for each flagged day of a project with a positive rate."""
+    return scheduled_by_median(with_duration_statistics(_flagged(labelled, mode), detection_units(detections, rates), mode), mode)
+
+
+def iqr_budget(labelled: DataFrame, detections: DataFrame, rates: DataFrame, mode: str = "per_project", seed: int = 42) -> DataFrame:
+    """A draw between the quartiles for each flagged day, fixed by project, fold, day and seed."""
+    return scheduled_by_draw(with_duration_statistics(_flagged(labelled, mode), detection_units(detections, rates), mode), mode, seed)
+
+
 def churn_budget(
     labelled: DataFrame,
     detections: DataFrame,
@@ -105,17 +128,7 @@ def churn_budget(
     filled = labelled.withColumn(churn, F.coalesce(churn, F.lit(0)).cast("double"))
     past = wn.expanding_median(filled, "project", churn, F.col("is_flagged"), "past_churn")
     days = with_duration_statistics(_flagged(past, mode, need_fold=False), detection_units(detections, rates), mode)
-    base = F.lit(max(scaling, 0.0)) * F.col("median")
-    weight = nm.churn_weight(churn, "past_churn", cap)
-    out = days.withColumns({"budget_base": base, "weight": weight}).withColumn("expected", F.col("budget_base") * F.col("weight"))
-    out = out.withColumns(
-        {
-            "scheduled": nm.rounded("expected", rounding),
-            "no_past_churn": F.coalesce(F.col("past_churn") <= 0, F.lit(True)),
-            "budget_target": F.bround("budget_base", 0).cast("bigint"),
-        }
-    )
-    return out.filter("budget_base > 0 AND scheduled > 0").withColumns({"strategy": F.lit("churn"), "strategy_mode": F.lit(mode)})
+    return scheduled_by_churn(days, mode, churn, scaling, cap, rounding)
 
 
 def observed_work(timeline: DataFrame, detections: DataFrame) -> DataFrame:
@@ -134,24 +147,25 @@ def regression_budget(
     test_fraction: float = 0.2,
     seed: int = 42,
     digits: int | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Predicted work for flagged days of the folds: least squares, clipped at 0, rounded up.
 
     ``digits`` rounds the prediction before it is rounded up, so the noise of a fit cannot add
     a unit to a whole number; by default it is taken as it is.
 
-    ``leave_one_out`` fits each project on all others; ``random_split`` fits on a seeded
-    share of the projects.
+    ``leave_one_out`` fits each project on all others, apart for every value of ``within``;
+    ``random_split`` fits on a seeded share of the projects.
     """
     data = observed_work(labelled.filter("is_flagged AND fold IS NOT NULL"), detections)
     data = data.fillna(0, list(features))
     if evaluation == "leave_one_out":
-        scored = rg.leave_one_out_predictions(data, "project", features, "observed", "raw")
-    elif evaluation == "random_split":
+        scored = rg.leave_one_out_predictions(data, "project", features, "observed", "raw", within)
+    elif evaluation == "random_split" and not within:
         train = rg.entity_split(data, "project", test_fraction, seed).filter("is_train").drop("is_train")
         scored = rg.predict(data, rg.fit(train, features, "observed"), features, "raw")
     else:
-        raise ValueError(f"unknown evaluation {evaluation!r}")
+        raise ValueError(f"no evaluation {evaluation!r} within {list(within)}")
     clipped = F.greatest("raw", F.lit(0.0))
     return scored.withColumns(
         {

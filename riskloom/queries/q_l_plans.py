@@ -16,6 +16,7 @@ from riskloom.plans import coverage as cv
 from riskloom.plans import detection as dt
 from riskloom.plans import features as ft
 from riskloom.plans import funnel as fn
+from riskloom.plans import sweep as sw
 from riskloom.plans import tables as tbl
 from riskloom.plans import timeline as tl
 from riskloom.queries import q_a_sources as qa
@@ -281,13 +282,10 @@ FROM th JOIN scored s ON s.risk >= th.threshold JOIN timeline tl ON tl.project =
 def threshold_sweep(spark, sf):
     rows = settle(s.scored(spark, sf), "scored")
     scores = rows.select("project", "day", F.col("risk").alias("predicted_risk_x"))
-    days, found, rates = settle(timeline(spark, sf), "timeline"), settle(s.detections(spark, sf), "detections"), s.rates(spark, sf)
-
-    def schedule(threshold):
-        marked = tl.labelled_timeline(days, scores, "predicted_risk_x", threshold=threshold)
-        return {"median": bd.median_budget(marked, found, rates, mode="cross_project")}
-
-    sweep = cp.threshold_sweep(curves.precision_recall(rows, "risk", "flagged"), _SWEEP_TARGETS, schedule)
+    days = tl.labelled_timeline(timeline(spark, sf, rows), scores, "predicted_risk_x")
+    curve = curves.precision_recall(rows, "risk", "flagged")
+    sweep = sw.threshold_sweep(curve, _SWEEP_TARGETS, days, settle(s.detections(spark, sf), "detections"), s.rates(spark, sf), strategies=["median"], mode="cross_project")
+    sweep = sweep.drop("step", "median_mean", "sampled_mean", "weight_mean", "predicted_sum")
     out = cp.low_precision_rows(sweep, _SWEEP_TARGETS[0]).unionByName(cp.low_precision_rows(sweep, _SWEEP_TARGETS[1]))
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "false_positive_rate")})
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.learning import curves
 from riskloom.plans import budgets as bd
 from riskloom.plans import comparison as cp
 from riskloom.plans import detection as dt
+from riskloom.plans import sweep as sw
 from riskloom.queries import q_a_sources as qa
 from riskloom.queries import q_l_plans as lp
 from riskloom.queries import standins as s
-from riskloom.queries.q_c_joins import labelled
+from riskloom.queries.q_c_joins import LABELLED_CTE, labelled
 from riskloom.queries.registry import SQL, query
 from riskloom.session import settle
 from riskloom.sources import readers as rd
@@ -69,6 +71,60 @@ def real_daily(spark, sf):
     return _compared(spark, sf)["daily"].withColumn("day", F.col("day").cast("string"))
 
 
+# The shipped precision targets, a lower one and one out of reach. The label is rarer at high scores, so that
+# precision rises as the threshold falls and the targets are reached at different thresholds.
+_TARGETS = [0.02, 0.05, 0.07, 0.08, 0.09, 0.1, 0.9]
+_SWEEP = f"""{LABELLED_CTE}, {lp.UNITS_ONLY}, hits AS (SELECT risk, CASE WHEN flagged = 1 AND added % 100 >= 100 * risk THEN 1 ELSE 0 END AS hit FROM scored),
+pts AS (SELECT risk AS threshold, sum(hit) AS pos, count(*) AS n FROM hits GROUP BY 1),
+pr AS (SELECT threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS sel, CAST(sum(pos) OVER () AS BIGINT) AS total FROM pts WINDOW w AS (ORDER BY threshold DESC)),
+th AS (SELECT target, max(threshold) AS threshold, arg_max(tp, threshold) AS tp, arg_max(sel, threshold) AS sel, max(total) AS total FROM (SELECT unnest({_TARGETS!r})::DOUBLE AS target) JOIN pr ON tp::DOUBLE / sel >= target GROUP BY 1),
+fl AS (SELECT th.target, l.* EXCLUDE (is_flagged, churn), coalesce(l.churn, 0) AS churn FROM labelled l JOIN th ON l.risk >= th.threshold),
+fs AS (SELECT w.project, w.fold, {lp._Q} FROM folds w JOIN units u ON u.project = w.project AND u.commit_day BETWEEN w.train_start AND w.train_end GROUP BY ALL),
+ps AS (SELECT u.project, {lp._Q} FROM units u GROUP BY 1), gs AS (SELECT {lp._Q} FROM units u),
+os AS (SELECT p.project, {lp._Q} FROM (SELECT DISTINCT project FROM labelled) p JOIN units u ON u.project <> p.project GROUP BY 1)"""
+_PER_PROJECT = """st AS (SELECT fl.*, CASE WHEN fs.med IS NOT NULL THEN fs.med WHEN ps.med IS NOT NULL THEN ps.med ELSE gs.med END AS med, CASE WHEN fs.med IS NOT NULL THEN fs.q1 WHEN ps.med IS NOT NULL THEN ps.q1 ELSE gs.q1 END AS q1,
+  CASE WHEN fs.med IS NOT NULL THEN fs.q3 WHEN ps.med IS NOT NULL THEN ps.q3 ELSE gs.q3 END AS q3, fl.fold AS draw_fold, fl.fold IS NOT NULL AS placed
+  FROM fl LEFT JOIN fs ON fs.project = fl.project AND fs.fold = fl.fold LEFT JOIN ps ON ps.project = fl.project, gs)"""
+_CROSS_PROJECT = "st AS (SELECT fl.*, os.med, os.q1, os.q3, '-' AS draw_fold, true AS placed FROM fl JOIN os ON os.project = fl.project)"
+
+
+def _sweep_sql(statistics: str) -> str:
+    return f"""WITH {_SWEEP}, {statistics},
+past AS (SELECT target, project, day, quantile_cont(churn, 0.5) OVER (PARTITION BY target, project ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM fl),
+dr AS (SELECT *, q1 + CAST(('0x' || substr(md5(project || '::' || draw_fold || '::' || day_index || '::42'), 1, 8)) AS BIGINT) / 4294967296.0 * (q3 - q1) AS v FROM st WHERE placed),
+ch AS (SELECT st.*, CASE WHEN base > 0 THEN least(ln(1 + churn) / ln(1 + base), 3.0) ELSE 1 END AS weight FROM st JOIN past USING (target, project, day) WHERE med > 0),
+dd AS (SELECT project, commit_day AS day, sum(days) AS days FROM detections GROUP BY ALL),
+ds AS (SELECT fl.target, fl.project, fl.day, fl.churn, CAST(greatest(coalesce(days, 0) * fl.rate, 0) AS BIGINT) AS observed FROM fl LEFT JOIN dd ON dd.project = fl.project AND dd.day = fl.day WHERE fold IS NOT NULL),
+fit AS (SELECT p.target, p.project, regr_slope(observed, churn) AS b, regr_intercept(observed, churn) AS a FROM (SELECT DISTINCT target, project FROM ds) p JOIN ds ON ds.target = p.target AND ds.project <> p.project GROUP BY ALL),
+sch AS (SELECT 'median' AS strategy, target, project, day, ceil(med) AS scheduled, med AS median, NULL::DOUBLE AS sampled, NULL::DOUBLE AS weight, NULL::DOUBLE AS raw FROM st WHERE placed AND rate > 0 AND ceil(med) > 0
+  UNION ALL SELECT 'iqr', target, project, day, ceil(v), med, v, NULL, NULL FROM dr WHERE ceil(v) > 0
+  UNION ALL SELECT 'churn', target, project, day, ceil(med * weight - 1e-9), med, NULL, weight, NULL FROM ch WHERE ceil(med * weight - 1e-9) > 0
+  UNION ALL SELECT 'regression', ds.target, ds.project, day, ceil(round(greatest(a + b * churn, 0), 6)), NULL, NULL, NULL, a + b * churn FROM ds JOIN fit ON fit.target = ds.target AND fit.project = ds.project),
+su AS (SELECT strategy, target, count(*) AS rows, count(DISTINCT project) AS unique_projects, count(DISTINCT day) AS unique_days, CAST(sum(scheduled) AS BIGINT) AS scheduled, avg(median) AS m, avg(sampled) AS s, avg(weight) AS w, sum(raw) AS p FROM sch GROUP BY ALL)
+SELECT th.target AS precision_target, th.threshold, x.strategy, round(tp::DOUBLE / sel, 6) AS precision, round(tp::DOUBLE / total, 6) AS recall, tp, sel - tp AS fp, total - tp AS fn, coalesce(rows, 0) AS rows, coalesce(unique_projects, 0) AS unique_projects,
+  coalesce(unique_days, 0) AS unique_days, coalesce(scheduled, 0) AS scheduled, round(m, 6) AS median_mean, round(s, 6) AS sampled_mean, round(w, 6) AS weight_mean, round(p, 2) AS predicted_sum
+FROM th CROSS JOIN (SELECT unnest(['median', 'iqr', 'churn', 'regression']) AS strategy) x LEFT JOIN su ON su.strategy = x.strategy AND su.target = th.target"""
+
+
+def _swept(spark, sf, mode):
+    days, found = settle(labelled(spark, sf), "labelled"), settle(s.detections(spark, sf), "detections")
+    hit = F.when((F.col("flagged") == 1) & (F.col("added") % 100 >= 100 * F.col("risk")), 1).otherwise(0)
+    curve = curves.precision_recall(s.scored(spark, sf).withColumn("hit", hit), "risk", "hit")
+    out = sw.threshold_sweep(curve, _TARGETS, days, found, s.rates(spark, sf), mode=mode, cap=3.0, digits=6)
+    rounded = ["precision", "recall", "median_mean", "sampled_mean", "weight_mean"]
+    return out.drop("step").withColumns({**{c: F.round(c, 6) for c in rounded}, "predicted_sum": F.round("predicted_sum", 2)})
+
+
+@query("l12_all_strategies", _sweep_sql(_PER_PROJECT))
+def all_strategies(spark, sf):
+    return _swept(spark, sf, "per_project")
+
+
+@query("l12_all_strategies_cross_project", _sweep_sql(_CROSS_PROJECT))
+def all_strategies_cross_project(spark, sf):
+    return _swept(spark, sf, "cross_project")
+
+
 _MODELS = """WITH m AS (SELECT c_mktsegment AS model, 'p' || c_nationkey AS project, count(*) AS n, round(CAST(count(*) FILTER (WHERE c_acctbal > 0) AS DOUBLE) / count(*), 4) AS share FROM customer GROUP BY ALL),
 c AS (SELECT * FROM m WHERE project IN (SELECT project FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT model) FROM m)))"""
 
