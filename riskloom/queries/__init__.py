@@ -12,5 +12,6 @@ from riskloom.queries import (  # noqa: F401
     q_k_learning,
     q_l_plans,
     q_m_tables,
+    q_n_daily,
 )
 from riskloom.queries.registry import QUERIES, SQL  # noqa: F401
