@@ -1,7 +1,8 @@
 """Quality rules with cross-document line frequency.
 
-Lines are normalised and hashed; per host the documents that hold each line are counted, with
-partial sums before the shuffle, and lines in too many documents are taken as boilerplate. A
+Lines are normalised and hashed; per host the rows that hold each line are counted, with partial
+sums before the shuffle, then the distinct documents of the lines in many rows. Lines in too many
+documents are taken as boilerplate. A
 document most of whose words lie in such lines is depleted and rejected, as are documents that
 fail the rules on their own words. All of it is DataFrame expressions.
 """
@@ -68,9 +69,10 @@ def judge(
     (in lines above the limit), ``base_failed`` and ``kept``.
 
     A line is removed if more than ``line_docs`` documents of its host hold it, and more than
-    ``line_share`` of them; a document counts once per line. A document is depleted if over
-    ``depleted`` of its words go. Null and empty texts have no words and fail. Documents
-    without a host share one. Repeated rows are documents of their own.
+    ``line_share`` of the host's rows; a document counts once per line. A document is depleted
+    if over ``depleted`` of its words go. Null and empty texts have no words and fail. Documents
+    without a host share one. Rows that share an id are one document of the host to the count of
+    a line, and each judged by its own text; a row without an id is a document of its own.
     """
     text = F.col("text")
     own = only(docs, doc_id=id_col, text=text_col, host=host_col).select(
@@ -84,10 +86,15 @@ def judge(
     measured = settle(measured, "quality-measured")
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
     once = measured.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    counted = once.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs)
-    frequent = settle(counted.join(hosts, "host").filter(F.col("n") > line_share * F.col("host_docs")).select("host", "line"), "quality-lines")
-    lines = measured.select("_row", "host", F.explode("lines").alias("x")).select("_row", "host", "x.line", "x.words")
-    removed = lines.join(frequent, ["host", "line"], "left_semi").groupBy("_row").agg(F.sum("words").alias("gone"))
+    # rows bound documents from above, so counting them first leaves few lines to count documents of
+    counted = once.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs).join(hosts, "host")
+    often = counted.filter(F.col("n") > line_share * F.col("host_docs")).select("host", "line", "host_docs")
+    document = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "_row"))
+    lines = measured.select("_row", document.alias("_doc"), "host", F.explode("lines").alias("x")).select("_row", "_doc", "host", "x.line", "x.words")
+    held = settle(lines.join(often, ["host", "line"]), "quality-held")
+    documents = held.groupBy("host", "line", "host_docs").agg(F.countDistinct("_doc").alias("n"))
+    frequent = documents.filter((F.col("n") > line_docs) & (F.col("n") > line_share * F.col("host_docs"))).select("host", "line")
+    removed = held.join(frequent, ["host", "line"], "left_semi").groupBy("_row").agg(F.sum("words").alias("gone"))
     judged = measured.drop("lines").join(removed, "_row", "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 100 * MOST_REPEATED * F.col("n_words"))
     return judged.withColumn("base_failed", failed).select(

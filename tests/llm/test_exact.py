@@ -160,6 +160,19 @@ def test_quality_rules(spark):
     assert quality.judge(no_documents(spark)).count() == 0
 
 
+def test_repeated_ids_are_one_document_to_a_line(spark):
+    own = " ".join(f"word{i}" for i in range(60))
+    schema = "doc_id long, text string, source string"
+    same = spark.createDataFrame([(1, f"{own}\nshared line here", "h")] * 40, schema)
+    assert {(r["n_removed_words"], r["kept"]) for r in quality.judge(same, line_docs=5, line_share=0.0).collect()} == {(0, True)}
+    # rows with and without an id: 4 ids and 3 null rows hold the line, one id in two rows, at two hosts
+    rows = [(i, f"{own} {n}\nshared line here", "h") for n, i in enumerate((1, 2, 3, 4, 4, None, None, None))] + [(9, "shared line here", "other"), (10, own, "h")]
+    docs = spark.createDataFrame(rows, schema)
+    for limit, gone in ((6, 3), (7, 0)):
+        got = quality.judge(docs, line_docs=limit, line_share=0.0).collect()
+        assert sorted((str(r["doc_id"]), r["n_removed_words"]) for r in got) == sorted((str(d), gone if h == "h" and "shared" in t else 0) for d, t, h in rows)
+
+
 # token counts and packing
 
 
