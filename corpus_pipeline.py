@@ -24,25 +24,39 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_civil(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for every row, and that column's name: ids may repeat or be null."""
+    key = "_row"
+    while key in docs.columns:
+        key = f"_{key}"
+    return settle(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each SimHash component.
+    """One row of each SimHash component: the one with the least id, rows without an id last.
 
-    Rows that repeat the id of a component stay together: ids are taken as keys here.
+    Repeated rows and rows that share an id are rows of their own here; of several with the least
+    id the first written stays. Null and empty texts are one component.
     """
-    found = simhash.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    rows, key = numbered(docs, "pipeline-rows")
+    found = simhash.near_duplicates(rows, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    members = settle(found.join(rows.select(key, F.col("doc_id").alias("_id")), key), "pipeline-members")
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col(key).alias("_key"))
+    first = members.groupBy("component_id").agg(F.min(order).alias("_first")).select(F.col("_first._key").alias(key))
+    rest = members.join(first, key, "left_anti").select(key)
+    return rows.join(rest, key, "left_anti").drop(key)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which fewer than one word in twenty lies in a benchmark window.
+    """Rows of which fewer than one word in twenty lies in a benchmark window.
 
-    Ids are taken as keys here: rows that share an id, or a null id, go together if one of them is
-    contaminated. Null and empty texts have no words and stay.
+    Every row is judged by its own text, whether its id repeats or is null. Null and empty texts
+    have no words and stay.
     """
-    hits = decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark"))
-    bad = decontaminate.contamination_report(hits).filter("contaminated").select("doc_id")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    rows, key = numbered(docs, "pipeline-rows")
+    hits = decontaminate.find_contamination(rows, load(spark, sf_dir, "benchmark"), id_col=key)
+    bad = decontaminate.contamination_report(hits).filter("contaminated").select(F.col("doc_id").alias(key))
+    return rows.join(bad, key, "left_anti").drop(key)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
