@@ -35,7 +35,12 @@ def _solve(row: np.ndarray, k: int) -> list[float] | None:
     if full[0, 0] <= 0:
         return None
     gram, right = full[: k + 1, : k + 1], full[: k + 1, k + 1]
-    return [float(c) for c in np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ right]
+    inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+    found = inverse @ right
+    for _ in range(2):  # the moments are not centred; what a solve leaves over is taken in longer floats and solved again
+        left = right.astype(np.longdouble) - gram.astype(np.longdouble) @ found.astype(np.longdouble)
+        found = found + inverse @ left.astype(float)
+    return [float(c) for c in found]
 
 
 def solve_moments(table: DataFrame, k: int) -> DataFrame:

@@ -238,7 +238,17 @@ def regression_budget_simple(spark, sf):
     return out.select("project", F.col("day").cast("string").alias("day"), "observed", F.round("raw", 4).alias("raw"), "scheduled")
 
 
-@query("l09_regression_budget_multi")
+# Three features by Cramer's rule on the centred moments of the training projects.
+@query("l09_regression_budget_multi", f"""WITH {LABELLED_CTE}, {s.DETECTIONS_CTE}, dd AS (SELECT project, commit_day AS day, sum(days) AS days FROM detections GROUP BY ALL),
+ds AS (SELECT l.project, l.day, l.rate::DOUBLE AS rate, l.day_index::DOUBLE AS place, coalesce(l.churn, 0)::DOUBLE AS churn, CAST(greatest(coalesce(days, 0) * l.rate, 0) AS BIGINT) AS observed
+  FROM labelled l LEFT JOIN dd ON dd.project = l.project AND dd.day = l.day WHERE is_flagged AND fold IS NOT NULL),
+tr AS (SELECT project FROM (SELECT project, row_number() OVER (ORDER BY md5(project || '::42'), project) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT project FROM ds)) WHERE r <= greatest(floor(n * 0.8), 1)),
+m AS (SELECT avg(churn) AS m1, avg(rate) AS m2, avg(place) AS m3, avg(observed) AS my, covar_pop(churn, churn) AS a, covar_pop(churn, rate) AS b, covar_pop(churn, place) AS c, covar_pop(rate, rate) AS d, covar_pop(rate, place) AS e, covar_pop(place, place) AS f,
+  covar_pop(observed, churn) AS p, covar_pop(observed, rate) AS q, covar_pop(observed, place) AS r FROM ds JOIN tr USING (project)),
+k AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+w AS (SELECT *, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det AS w1, (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / det AS w2, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det AS w3 FROM k),
+o AS (SELECT project, day, observed, my + w1 * (churn - m1) + w2 * (rate - m2) + w3 * (place - m3) AS raw FROM ds, w)
+SELECT project, CAST(day AS VARCHAR) AS day, observed, round(raw, 4) AS raw, CAST(ceil(round(greatest(raw, 0), 6)) AS BIGINT) AS scheduled FROM o""")
 def regression_budget_multi(spark, sf):
     out = bd.regression_budget(settle(labelled(spark, sf), "labelled"), s.detections(spark, sf), ["churn", "rate", "day_index"], evaluation="random_split", digits=6)
     return out.select("project", F.col("day").cast("string").alias("day"), "observed", F.round("raw", 4).alias("raw"), "scheduled")

@@ -25,7 +25,6 @@ TABLES = (
 # Queries without SQL, which tests/test_models.py and tests/test_plans.py check by their properties.
 CHECKED_ELSEWHERE = (
     "random_forest", "boosted_trees", "parameter_search", "time_series_validation", "cross_entity_validation", "repeated_scores", "feature_set_experiments", "importances",
-    "regression_budget_multi",
 )
 
 
