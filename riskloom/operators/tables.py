@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import clean
 
+ROWS_OF_TASK = 150_000  # rows that share a task where several group-bys on them follow each other
+
 
 def trim_key(df: DataFrame, *keys: str) -> DataFrame:
     """Trim the keys and drop rows where one is blank or missing."""
@@ -106,6 +108,15 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(row)).alias("_once")).select(*df.columns, "_once.*")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal ``df`` by ``keys`` over as many tasks as hold ``ROWS_OF_TASK`` of its ``rows`` each.
+
+    Group-bys and joins on these keys then follow in the same tasks. Spark would merge partitions
+    up to a size in bytes of the shuffle, which keys that pack well turn into many rows.
+    """
+    return df.repartition(max(1, -(-rows // ROWS_OF_TASK)), *keys)
+
+
 @dataclass(frozen=True)
 class LabelChoice:
     flag: Column
