@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.texts import as_bytes, only, portions, slices
-from riskloom.session import settle
+from riskloom.session import settle, shuffles_dropped
 
 WINDOW = 50
 GRAM = 16  # bytes whose hashes compete for a window
@@ -359,7 +359,8 @@ def shared_owners(texts: DataFrame, window: int, gram: int) -> Shared:
     hot = max(HOT, total // 16 // HOTTEST)
     told = texts.select("text").mapInArrow(_announce(window, gram, parts), "owner long")
     dealt = told.repartition(1 << parts_bits, F.shiftrightunsigned("owner", 64 - parts_bits))
-    found = dealt.mapInArrow(_merge_slices(parts_bits, bits, hot), "part long, bits binary, hot array<long>, weight array<long>").collect()
+    with shuffles_dropped(spark):
+        found = dealt.mapInArrow(_merge_slices(parts_bits, bits, hot), "part long, bits binary, hot array<long>, weight array<long>").collect()
     width = (1 << bits >> parts_bits) // 8
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
     deal: dict[int, int] = {}
