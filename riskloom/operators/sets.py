@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.aggregates import first_by
+from riskloom.session import settle
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -47,7 +48,8 @@ def distinct_entities(frames: Sequence[tuple[DataFrame, str]], name: str = "proj
 
 def canonical_rows(df: DataFrame, canonical: DataFrame, keys: Sequence[str], entity: str) -> tuple[DataFrame, DataFrame]:
     """Rows of the canonical source, and kept and original counts per entity."""
-    flagged = df.join(canonical.select(*keys).distinct().withColumn("_keep", F.lit(1)), list(keys), "left")
+    wanted = settle(canonical.select(*keys).distinct(), "canonical")  # its size is known before the rows are shuffled
+    flagged = df.join(wanted.withColumn("_keep", F.lit(1)), list(keys), "left")
     counts = flagged.groupBy(entity).agg(F.count("_keep").alias("kept"), F.count("*").alias("original"))
     return flagged.filter("_keep = 1").drop("_keep"), counts
 

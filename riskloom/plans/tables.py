@@ -14,6 +14,7 @@ from riskloom.functions import text as tx
 from riskloom.operators import sets as st
 from riskloom.operators import text_features as tf
 from riskloom.operators import windows as wn
+from riskloom.session import settle
 
 
 def advisory_table(records: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
@@ -44,7 +45,8 @@ def label_table(
     rows = rows.drop("flagged")
     out = tf.label_commits(rows, advisories)
     if message:
-        out = tf.add_tfidf(out, "commit_id", message, k=k, entity=["project"], stop_words=stop_words)
+        # the corpus is read three times; the joins above should not be
+        out = tf.add_tfidf(settle(out, "labelled-commits"), "commit_id", message, k=k, entity=["project"], stop_words=stop_words)
     return out
 
 
@@ -68,9 +70,11 @@ def revision_table(source_maps: DataFrame, projects: DataFrame, commits: DataFra
     """Revisions with commit day, the canonical rows' counts, and day-to-day revision pairs.
 
     ``source_maps``: project, date, repo_name, url, revision. ``projects``: project,
-    main_repo. ``commits``: revision, committed.
+    main_repo. ``commits``: revision, committed. Addresses are written first, so that Spark
+    knows how few they are and does not shuffle the source maps by project.
     """
     main = projects.filter(F.trim("main_repo") != "").select("project", tx.repo_key("main_repo", lower=False).alias("_main"))
+    main = settle(main, "main-repos")
     named = source_maps.join(main, "project", "left")
     canonical = F.coalesce(tx.repo_key("url", lower=False) == F.col("_main"), F.lit(False))
     named = named.withColumn("repo_name", F.when(canonical, F.col("project")).otherwise(F.col("repo_name"))).drop("_main")
