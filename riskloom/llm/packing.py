@@ -16,6 +16,7 @@ import random
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -79,11 +80,12 @@ class Packer:
     """The genetic operators over one shard's lengths."""
 
     def __init__(self, lengths: Sequence[int], capacity: int, seed: int):
-        self.lengths, self.capacity, self.draw = list(lengths), capacity, random.Random(seed)
+        # plain numbers: those of an array cost several times as much in every sum and comparison
+        self.lengths, self.capacity, self.draw = [int(n) for n in lengths], capacity, random.Random(seed)
         self.bound = -(-sum(self.lengths) // capacity)
 
     def fill(self, bin_: list[int]) -> int:
-        return sum(self.lengths[i] for i in bin_)
+        return sum(map(self.lengths.__getitem__, bin_))
 
     def fitness(self, bins: Bins) -> tuple[int, float]:
         """Fewer bins first, then fuller ones (mean square of the fill)."""
@@ -137,18 +139,18 @@ class Packer:
         return self.best_fit(kept, displaced)
 
     def evolve(self, population: list[Bins], generations: int, size: int) -> list[Bins]:
-        population = sorted(population, key=self.fitness)
+        ranked = sorted(((self.fitness(bins), bins) for bins in population), key=itemgetter(0))
         for _ in range(generations):
-            if len(population[0]) <= self.bound:
+            if len(ranked[0][1]) <= self.bound:
                 break
             for _ in range(size // 2):
-                a, b = (min(self.draw.sample(range(len(population)), min(2, len(population)))) for _ in range(2))
-                child = self.cross(population[a], population[b])
+                a, b = (min(self.draw.sample(range(len(ranked)), min(2, len(ranked)))) for _ in range(2))
+                child = self.cross(ranked[a][1], ranked[b][1])
                 if self.draw.random() < 0.5:
                     child = self.mutate(child)
-                population.append(child)
-            population = sorted(population, key=self.fitness)[:size]
-        return population
+                ranked.append((self.fitness(child), child))
+            ranked = sorted(ranked, key=itemgetter(0))[:size]
+        return [bins for _, bins in ranked]
 
 
 def _assigned(bins: Bins, n: int) -> list[int]:

@@ -2,8 +2,10 @@
 
 For the two layouts below the library splits a text at blanks before anything else, so the ids
 of a text are those of its words in order. A task keeps the ids of words it has met; only new
-words go to the library. Whatever does not fit the layout (other tokenizers, special strings,
-odd white space) goes to the library as a whole text, so results are always the library's own.
+words go to the library: those of printable ASCII and Latin letters cut into the layout's own
+pre-tokens, for which only the merges are left to do, others as they are. Whatever does not fit
+the layout (other tokenizers, special strings, odd white space) goes to the library as a whole
+text, so results are always the library's own.
 """
 
 from __future__ import annotations
@@ -13,13 +15,18 @@ import os
 import re
 import struct
 import unicodedata
-from collections.abc import Callable
+import weakref
 from functools import lru_cache
 
-WORDS_KEPT = 700_000  # a task forgets all its words beyond this many
+WORDS_KEPT = 700_000  # words that a task remembers; those not met among the last half of them are forgotten
 
 _LATIN = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"  # letters that lower-casing and composing leave alone
 _LATIN_ANY = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_SIMPLE = rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,100}"  # printable ASCII and Latin letters; long ones would fill the memory with their parts
+_RUNS = {  # the layouts' patterns, as they cut a word of these
+    "dropped": r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+",
+    "leading": r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ÿ0-9]+",
+}
 _MARK, _BARE = b"\x01", b"\x02"  # stand before a mark, and before a word that no blank precedes
 
 
@@ -78,6 +85,28 @@ def split_id(tokenizer_json: dict) -> str | None:
     return None
 
 
+class _Apart(Exception):
+    """The words of a text can't be encoded one by one."""
+
+
+class _Words(dict):
+    """Ids per word; a word that is missing comes from the words before these or is encoded."""
+
+    def __init__(self, encoder: Encoder, kept: int):
+        # a weak one: an encoder that is dropped goes at once, and its words with it
+        self.encoder, self.kept, self.older = weakref.proxy(encoder), kept, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoder.new(word)
+        if len(self) >= self.kept // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """``ids(raw)`` gives the ids of a UTF-8 text as little-endian 32-bit numbers."""
 
@@ -90,66 +119,64 @@ class Encoder:
             config = json.load(f)
         self.layout = split_id(config) if memory else None
         self.special = tuple({t["content"].lower().encode()[:2] for t in config.get("added_tokens", []) if t["content"]})
-        self.words_kept = words_kept
-        self.known: dict[bytes, bytes] = {}
-        self.chars = _byte_chars()
-        self.plain = re.compile(_LATIN if self.layout == "dropped" else _LATIN_ANY)
+        self.known = _Words(self, words_kept)
+        self.chars, self.model = _byte_chars(), self.library.model
+        self.plain, self.simple = re.compile(_LATIN if self.layout == "dropped" else _LATIN_ANY), re.compile(_SIMPLE)
+        self.runs = re.compile(_RUNS.get(self.layout, ""))
+        self.packed = [struct.pack("<I", i) for i in range(1 + max(self.library.get_vocab().values(), default=0))]
         self.ends = {m: self.whole(m) for m in (b",", b".")}
 
     def whole(self, raw: bytes) -> bytes:
         ids = self.library.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _letters(self, word: bytes) -> bytes:
-        """Ids of a word that is one run of letters: only the merges are left to do."""
-        ids = [t.id for t in self.library.model.tokenize("".join(map(self.chars.__getitem__, word)))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _remember(self, memory: dict[bytes, bytes], word: bytes, ids: bytes) -> bytes:
-        if len(memory) >= self.words_kept:
-            memory.clear()
-        memory[word] = ids
-        return ids
+    def _run(self, word: bytes) -> bytes:
+        """Ids of one pre-token: only the merges are left to do."""
+        chars = word.decode() if word.isalpha() else "".join(map(self.chars.__getitem__, word))
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(chars)])
 
     def _tail(self, word: bytes) -> bool:
         """The word is letters and one closing mark, which are always tokens of their own."""
         return len(word) > 1 and word[-1:] in (b",", b".") and word[-2] in _LETTERS
 
+    def new(self, word: bytes) -> bytes:
+        return self._dropped(word) if self.layout == "dropped" else self._leading(word)
+
     def _dropped(self, word: bytes) -> bytes:
-        ids = self.known.get(word)
-        if ids is not None:
-            return ids
+        if self.plain.fullmatch(word):
+            return self._run(word)
         if self._tail(word):
-            return self._dropped(word[:-1]) + self.ends[word[-1:]]
-        return self._remember(self.known, word, self._letters(word) if self.plain.fullmatch(word) else self.whole(word))
-
-    def _leading(self, word: bytes) -> bytes | None:
-        """``word`` and the blank before it. None: blanks touch, so the rule does not hold."""
-        ids = self.known.get(word)
-        if ids is not None:
-            return ids
+            return self.known[word[:-1]] + self.ends[word[-1:]]
+        if self.simple.fullmatch(word):
+            runs = [r.encode() for r in self.runs.findall(word.decode().lower())]
+            return self._run(runs[0]) if len(runs) == 1 else b"".join(map(self.known.__getitem__, runs))
+        return self.whole(word)
+
+    def _leading(self, word: bytes) -> bytes:
+        """``word`` and the blank before it. Where blanks touch, the rule does not hold."""
         if word[:1] == _MARK:
-            return self._remember(self.known, word, self.whole(word[1:]))
+            return self.whole(word[1:])
         if self._tail(word):
-            part = self._leading(word[:-1])
-            return None if part is None else part + self.ends[word[-1:]]
+            return self.known[word[:-1]] + self.ends[word[-1:]]
         bare = word[:1] == _BARE
         body = word[1:] if bare else word
         if self.plain.fullmatch(body):
-            return self._remember(self.known, word, self._letters(body if bare else b" " + body))
+            return self._run(body if bare else b" " + body)
+        if self.simple.fullmatch(body):
+            runs = [r.encode() for r in self.runs.findall(body.decode() if bare else " " + body.decode())]
+            if len(runs) == 1:
+                return self._run(runs[0])
+            return b"".join(self.known[r[1:] if r[:1] == b" " else _BARE + r] for r in runs)
         text = body.decode("utf-8", "replace")
         if not text or text[0].isspace() or text[-1].isspace():
-            return None
-        return self._remember(self.known, word, self.whole(body if bare else b" " + body))
+            raise _Apart
+        return self.whole(body if bare else b" " + body)
 
-    def _looked_up(self, words: list[bytes], new: Callable[[bytes], bytes | None]) -> bytes | None:
-        found, at = list(map(self.known.get, words)), -1
-        for _ in range(found.count(None)):
-            at = found.index(None, at + 1)
-            found[at] = new(words[at])
-            if found[at] is None:
-                return None
-        return b"".join(found)
+    def _looked_up(self, words: list[bytes]) -> bytes | None:
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except _Apart:
+            return None
 
     def ids(self, raw: bytes) -> bytes:
         if not raw:
@@ -161,13 +188,13 @@ class Encoder:
         if self.layout == "dropped":
             if apart:  # closing marks become words of their own
                 lowered = (lowered + b" ").replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" . ")
-            ids = self._looked_up(lowered.split(), self._dropped)
+            ids = self._looked_up(lowered.split())
         elif _MARK not in raw and _BARE not in raw:
             marked = _BARE + raw
             if apart:
                 marked = marked.replace(b", ", b" \x01, ").replace(b". ", b" \x01. ").replace(b".\n", b" \x01.\n")
             marked = marked.replace(b"\n", b" \x01\n \x02")
-            ids = self._looked_up(marked.split(b" "), self._leading)
+            ids = self._looked_up(marked.split(b" "))
         return self.whole(raw) if ids is None else ids
 
 
